@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import ipaddress
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -29,47 +30,52 @@ def _c(col: Column | str) -> Column:
     return F.col(col) if isinstance(col, str) else col
 
 
-def _octet_hex(octet: Column) -> Column:
-    return F.lpad(F.lower(F.hex(octet.try_cast("int"))), 2, "0")
-
-
 def _v4_digits(ip: Column) -> Column:
     """Eight hex digits of a dotted quad, NULL if it is none."""
-    second = F.substring_index(F.substring_index(ip, ".", 2), ".", -1)
-    third = F.substring_index(F.substring_index(ip, ".", -2), ".", 1)
-    return F.when(
-        ip.rlike(_V4),
-        F.concat(
-            _octet_hex(F.substring_index(ip, ".", 1)),
-            _octet_hex(second),
-            _octet_hex(third),
-            _octet_hex(F.substring_index(ip, ".", -1)),
-        ),
+    upper = F.substring_index(ip, ".", 2)
+    lower = F.substring_index(ip, ".", -2)
+
+    def octet(text: Column) -> Column:
+        return text.try_cast("bigint")
+
+    number = (
+        octet(F.substring_index(upper, ".", 1)) * 16777216
+        + octet(F.substring_index(upper, ".", -1)) * 65536
+        + octet(F.substring_index(lower, ".", 1)) * 256
+        + octet(F.substring_index(lower, ".", -1))
     )
+    return F.when(ip.rlike(_V4), F.lpad(F.lower(F.hex(number)), 8, "0"))
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def _v6_digits(ip: Column) -> Column:
-    quad = _v4_digits(F.substring_index(ip, ":", -1))
-    head = F.regexp_extract(ip, r"^(.*:)[^:]*$", 1)
+    def without_quad(quad: Column) -> Column:
+        head = F.substr(ip, F.lit(1), F.length(ip) - F.length(F.substring_index(ip, ":", -1)))
+        return F.concat(head, F.substring(quad, 1, 4), F.lit(":"), F.substring(quad, 5, 4))
+
     plain = F.lower(
-        F.when(
-            ip.contains("."),
-            F.concat(head, F.substring(quad, 1, 4), F.lit(":"), F.substring(quad, 5, 4)),
-        ).otherwise(ip)
+        F.when(ip.contains("."), _let(_v4_digits(F.substring_index(ip, ":", -1)), without_quad)).otherwise(ip)
     )
 
     def groups(side: Column) -> Column:
         return F.filter(F.split(side, ":"), lambda g: g != "")
 
-    left = groups(F.substring_index(plain, "::", 1))
-    right = groups(F.substring_index(plain, "::", -1))
-    used = F.size(left) + F.size(right)
-    short = F.when(
-        plain.rlike(_V6_SHORT) & (used <= 7),
-        F.concat(left, F.array_repeat(F.lit("0000"), F.lit(8) - used), right),
-    )
-    parts = F.when(plain.rlike(_V6_FULL), F.split(plain, ":")).otherwise(short)
-    return F.array_join(F.transform(parts, lambda g: F.lpad(g, 4, "0")), "")
+    def filled(sides: Column) -> Column:
+        used = F.size(F.get(sides, F.lit(0))) + F.size(F.get(sides, F.lit(1)))
+        zeros = F.array_repeat(F.lit("0000"), F.lit(8) - used)
+        return F.when(used <= 7, F.concat(F.get(sides, F.lit(0)), zeros, F.get(sides, F.lit(1))))
+
+    def expanded(text: Column) -> Column:
+        """The text's groups, with the zero groups ``::`` stands for."""
+        sides = F.array(groups(F.substring_index(text, "::", 1)), groups(F.substring_index(text, "::", -1)))
+        return F.when(text.rlike(_V6_FULL), F.split(text, ":")).when(text.rlike(_V6_SHORT), _let(sides, filled))
+
+    padded = F.transform(_let(plain, expanded), lambda g: F.lpad(g, 4, "0"))
+    return F.array_join(padded, "")
 
 
 def ip_hex(col: Column | str) -> Column:
@@ -149,10 +155,7 @@ def cidr_list(cidrs: str | list[str], strict: bool = True) -> list[Cidr]:
 
 
 def cidr_pattern(cidrs: list[Cidr]) -> str:
-    """Regular expression for the start of an ``ip_hex`` value inside any of ``cidrs``.
-
-    One pattern is evaluated once per address however many subnets there are.
-    """
+    """Regular expression for the start of an ``ip_hex`` value inside any of ``cidrs``."""
     parts = []
     for cidr in cidrs:
         full, loose = divmod(cidr.bits, 4)
@@ -163,78 +166,108 @@ def cidr_pattern(cidrs: list[Cidr]) -> str:
         if cidr.family == "6" and V4_PREFIX.startswith(cidr.lo[: min(full, 24)]):
             text = f"(?!{V4_PREFIX}){text}"
         parts.append(text)
-    return "(?:" + "|".join(dict.fromkeys(parts)) + ")"
+    return "^(?:" + "|".join(dict.fromkeys(parts)) + ")"
+
+
+def quad_pattern(cidrs: list[Cidr]) -> str | None:
+    """Regular expression for a valid dotted quad inside any of the IPv4 ``cidrs``."""
+    parts = []
+    for cidr in cidrs:
+        if cidr.family != "4":
+            continue
+        low = int(cidr.lo[24:], 16).to_bytes(4, "big")
+        full, loose = divmod(cidr.bits - 96, 8)
+        octets = [str(value) for value in low[:full]]
+        if loose:
+            octets.append("(?:" + "|".join(str(low[full] + i) for i in range(1 << (8 - loose))) + ")")
+        octets += [_OCTET] * (4 - len(octets))
+        parts.append(r"\.".join(octets))
+    return "^(?:" + "|".join(dict.fromkeys(parts)) + ")$" if parts else None
+
+
+def in_cidrs(address: Column | str, cidrs: list[Cidr]) -> Column:
+    """True if the text is an address inside one of ``cidrs``, never NULL.
+
+    One pattern tests all subnets. A dotted quad is matched as it is written; only
+    text with a colon is turned into its key.
+    """
+    ip = _c(address)
+    quads = quad_pattern(cidrs)
+    v4 = ip.rlike(quads) if quads else F.lit(False)
+    return F.coalesce(F.when(ip.contains(":"), ip_hex(ip).rlike(cidr_pattern(cidrs))).otherwise(v4), F.lit(False))
 
 
 # --- subnets given as a table ------------------------------------------------
 
 
-def cidr_columns(table: DataFrame, col: str) -> DataFrame:
-    """Adds ``valid, family, bits, lo, hi`` for the subnet text in ``col``."""
-    text = F.trim(F.col(col))
+def _cidr_struct(col: Column) -> Column:
+    """``family, bits, lo, hi`` of subnet text, NULL if it is none."""
+    text = F.trim(col)
     shape = text.rlike("^[^/]+/[0-9]+$")
-    address = F.substring_index(text, "/", 1)
+    v6 = text.contains(":")
     length = F.when(shape, F.substring_index(text, "/", -1)).try_cast("int")
-    key = F.when(shape, ip_hex(address))
-    is_text_v6 = address.contains(":")
-    bits = F.when(
-        F.when(is_text_v6, length <= 128).otherwise(length <= 32) & key.isNotNull(),
-        F.when(is_text_v6, length).otherwise(length + 96),
-    )
-    full = F.col("bits").try_cast("int")
-    whole = (F.floor(full / 4)).cast("int")
-    loose = full % 4
-    step = F.element_at(F.array(*[F.lit(v) for v in (16, 8, 4, 2)]), loose + 1)
-    digit = F.conv(F.expr("substring(_key, whole + 1, 1)"), 16, 10).try_cast("int")
-    low_digit = digit - digit % step
+    bits = F.when(v6 & (length <= 128), length).when(~v6 & (length <= 32), length + 96)
+    parsed = F.struct(F.when(shape, ip_hex(F.substring_index(text, "/", 1))).alias("key"), bits.alias("bits"))
+
+    def bounds(p: Column) -> Column:
+        full, loose = F.floor(p["bits"] / 4).cast("int"), p["bits"] % 4
+        step = F.get(F.array(*[F.lit(n) for n in (16, 8, 4, 2)]), loose)
+        digit = F.conv(F.substr(p["key"], full + 1, F.lit(1)), 16, 10).try_cast("int")
+        stem = F.substr(p["key"], F.lit(1), full)
+
+        def bound(nibble: Column, filler: str) -> Column:
+            middle = F.when(loose > 0, F.lower(F.hex(nibble))).otherwise(F.lit(""))
+            return F.rpad(F.concat(stem, middle), 32, filler)
+
+        low = digit - digit % step
+        return F.struct(
+            p["bits"].alias("bits"), bound(low, "0").alias("lo"), bound(low + step - 1, "f").alias("hi")
+        )
 
-    def hexdigit(value: Column) -> Column:
-        return F.lower(F.hex(value))
+    def with_family(b: Column) -> Column:
+        v4 = (b["bits"] >= 96) & b["lo"].startswith(V4_PREFIX)
+        family = F.when(v4, F.lit("4")).otherwise(F.lit("6"))
+        return F.struct(family.alias("family"), b["bits"].alias("bits"), b["lo"].alias("lo"), b["hi"].alias("hi"))
 
-    rest = F.lit(32) - F.col("whole") - F.when(loose > 0, 1).otherwise(0)
+    return _let(
+        parsed, lambda p: F.when(p["key"].isNotNull() & p["bits"].isNotNull(), _let(bounds(p), with_family))
+    )
 
-    def bound(nibble: Column, filler: str) -> Column:
-        middle = F.when(loose > 0, hexdigit(nibble)).otherwise(F.lit(""))
-        return F.concat(F.expr("substring(_key, 1, whole)"), middle, F.repeat(F.lit(filler), rest))
 
+def cidr_columns(table: DataFrame, col: str) -> DataFrame:
+    """Adds ``valid, family, bits, lo, hi`` for the subnet text in ``col``."""
     return (
-        table.withColumn("_key", key)
-        .withColumn("bits", bits)
-        .withColumn("valid", F.col("bits").isNotNull())
-        .withColumn("whole", whole)
-        .withColumn("lo", F.when(F.col("valid"), bound(low_digit, "0")))
-        .withColumn("hi", F.when(F.col("valid"), bound(low_digit + step - 1, "f")))
-        .withColumn(
-            "family",
-            F.when((F.col("bits") >= 96) & F.col("lo").startswith(V4_PREFIX), F.lit("4")).when(
-                F.col("valid"), F.lit("6")
-            ),
-        )
-        .drop("_key", "whole")
+        table.withColumn("_cidr", _cidr_struct(F.col(col)))
+        .withColumn("valid", F.col("_cidr").isNotNull())
+        .select(*table.columns, "valid", "_cidr.*")
     )
 
 
-def cidr_prefix_table(table: DataFrame, col: str) -> DataFrame:
-    """``(family, digits, prefix)`` rows: the hex-digit prefixes of every valid subnet.
+def cidr_prefixes(col: Column | str) -> Column:
+    """Array of the text prefixes of ``lookup_key`` that together are a subnet.
 
-    Prefixes end on a hex digit, so a subnet gives at most eight rows and
-    containment turns into equality on ``substring(ip_hex, 1, digits)``.
+    Prefixes end on a hex digit, so there are at most eight, and containment turns
+    into equality with one of an address's own prefixes. NULL for no subnet.
     """
-    loose = F.col("bits") % 4
-    count = F.element_at(F.array(*[F.lit(v) for v in (1, 8, 4, 2)]), loose + 1)
-    digits = F.ceil(F.col("bits") / 4).cast("int")
-    first = F.conv(F.expr("substring(lo, digits, 1)"), 16, 10).try_cast("int")
-    return (
-        cidr_columns(table, col)
-        .where("valid")
-        .withColumn("digits", digits)
-        .withColumn("step", F.explode(F.sequence(F.lit(0), count - 1)))
-        .select(
-            "family",
-            "digits",
-            F.when(F.col("digits") == 0, F.lit(""))
-            .otherwise(F.concat(F.expr("substring(lo, 1, digits - 1)"), F.lower(F.hex(first + F.col("step")))))
-            .alias("prefix"),
+
+    def expand(c: Column) -> Column:
+        digits = F.ceil(c["bits"] / 4).cast("int")
+        count = F.get(F.array(*[F.lit(n) for n in (1, 8, 4, 2)]), c["bits"] % 4)
+        first = F.conv(F.substr(c["lo"], digits, F.lit(1)), 16, 10).try_cast("int")
+        stem = F.concat(c["family"], F.substr(c["lo"], F.lit(1), digits - 1))
+        steps = F.transform(
+            F.sequence(F.lit(0), count - 1), lambda i: F.concat(stem, F.lower(F.hex(first + i)))
         )
-        .distinct()
-    )
+        return F.when(digits == 0, F.array(c["family"])).otherwise(steps)
+
+    return _let(_cidr_struct(_c(col)), expand)
+
+
+def lookup_prefixes(col: Column | str, lengths: list[int]) -> Column:
+    """An address's own prefixes (family digit and hex digits) of the given lengths."""
+
+    def prefixes(key: Column) -> Column:
+        text = F.concat(ip_family(key), key)
+        return F.array(*[F.substring(text, 1, n) for n in lengths])
+
+    return _let(ip_hex(col), prefixes)

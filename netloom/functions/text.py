@@ -6,6 +6,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+_OUTER_SPACE = r"(?U)^\s+|\s+$"
+
+
 def _c(col: Column | str) -> Column:
     return F.col(col) if isinstance(col, str) else col
 
@@ -23,7 +26,8 @@ def decode_separator(line: Column | str) -> Column:
 
 def list_entries(col: Column | str) -> Column:
     """Array of the trimmed, non-blank entries of a comma list."""
-    return F.filter(F.transform(F.split(_c(col), ","), F.trim), lambda x: x != "")
+    bare = F.transform(F.split(_c(col), ","), lambda x: F.regexp_replace(x, _OUTER_SPACE, ""))
+    return F.filter(bare, lambda x: x != "")
 
 
 def byte_list(col: Column | str) -> Column:
@@ -86,7 +90,7 @@ def network_id_valid(col: Column | str) -> Column:
 
     Underscores are allowed, the placeholder of a sample configuration is not.
     """
-    value = F.regexp_replace(_c(col), r"^\s+|\s+$", "")
+    value = F.regexp_replace(_c(col), _OUTER_SPACE, "")
     return F.coalesce(
         value.rlike(r"^[a-zA-Z0-9](?:[a-zA-Z0-9_ -]*[a-zA-Z0-9])?\z")
         & (F.octet_length(value) <= 64)
@@ -97,11 +101,4 @@ def network_id_valid(col: Column | str) -> Column:
 
 def is_private_v4(hex_col: Column | str) -> Column:
     """True for an ``ip_hex`` inside 10/8, 172.16/12 or 192.168/16."""
-    key = _c(hex_col)
-    v4 = "00000000000000000000ffff"
-    return F.coalesce(
-        key.between(v4 + "0a000000", v4 + "0affffff")
-        | key.between(v4 + "ac100000", v4 + "ac1fffff")
-        | key.between(v4 + "c0a80000", v4 + "c0a8ffff"),
-        F.lit(False),
-    )
+    return F.coalesce(_c(hex_col).rlike("^0{20}ffff(?:0a|ac1|c0a8)"), F.lit(False))

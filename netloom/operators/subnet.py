@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from netloom.functions.ip import Cidr, cidr_list, cidr_pattern, cidr_prefix_table, ip_family, ip_hex
+from netloom.functions.ip import Cidr, cidr_list, cidr_prefixes, in_cidrs, lookup_prefixes
 from netloom.schemas import ADDRESS_COLUMNS, ADDRESS_SET_COLUMNS, LOG_NAMES
 
 Cidrs = str | list[str]
@@ -24,13 +24,19 @@ MAX_LISTED = 1000
 def touches(columns: list[str], cidrs: list[Cidr]) -> Column:
     """True where one of the row's addresses is in one of the subnets.
 
-    Every address is turned into its key once; one pattern then tests all of them.
+    The first hit ends the row. The addresses are bound in a lambda, so a column that is itself computed (a cell
+    cut out of a text line) is computed once even though filters get pushed down.
     """
-    scalars = [ip_hex(c) for c in ADDRESS_COLUMNS if c in columns]
-    sets = [F.transform(F.col(c), ip_hex) for c in ADDRESS_SET_COLUMNS if c in columns]
-    if not cidrs or not (scalars or sets):
+    if not cidrs:
         return F.lit(False)
-    return F.concat_ws(" ", *scalars, *sets).rlike(r"(?:^| )" + cidr_pattern(cidrs))
+
+    def inside(address: Column) -> Column:
+        return in_cidrs(address, cidrs)
+
+    scalars = [F.col(c) for c in ADDRESS_COLUMNS if c in columns]
+    tests = [F.exists(F.array(*scalars), inside)] if scalars else []
+    tests += [F.coalesce(F.exists(F.col(c), inside), F.lit(False)) for c in ADDRESS_SET_COLUMNS if c in columns]
+    return reduce(Column.__or__, tests, F.lit(False))
 
 
 def exclude_subnets(df: DataFrame, cidrs: Cidrs, strict: bool = True) -> DataFrame:
@@ -52,27 +58,22 @@ def _text(net: Cidr) -> str:
     return f"{ipaddress.IPv6Address(int(net.lo, 16))}/{net.bits}"
 
 
-def addresses_in_table(addresses: DataFrame, col: str, table: DataFrame, cidr_col: str) -> DataFrame:
-    """Rows of ``addresses`` whose ``col`` (an ``ip_hex``) lies in a subnet of the table.
+def values_in_table(values: DataFrame, addresses: Column, table: DataFrame, cidr_col: str) -> DataFrame:
+    """The distinct ``values`` of which one of ``addresses`` (an array) lies in a subnet.
 
-    Each address is looked up by its prefixes of the lengths that occur: an
+    An address is looked up by its prefixes of the lengths that occur in the table: an
     equi-join on text, never a comparison of every address with every subnet. The
-    lengths are a fixed few (at most 33 hex-digit lengths per family).
+    lengths are at most 33 numbers for each of the two families.
     """
-    prefixes = cidr_prefix_table(table, cidr_col)
-    candidates = addresses.withColumn("_family", ip_family(col)).withColumn(
-        "_digits", F.explode(F.when(F.col("_family") == "4", F.sequence(F.lit(24), F.lit(32))).otherwise(F.sequence(F.lit(0), F.lit(32))))
-    )
-    keyed = candidates.withColumn("_prefix", F.substring(F.col(col), F.lit(1), F.col("_digits")))
+    prefixes = table.select(F.explode_outer(cidr_prefixes(cidr_col)).alias("_prefix")).distinct()
+    lengths = [r[0] for r in prefixes.select(F.length("_prefix").alias("n")).distinct().where("n > 0").collect()]
+    if not lengths:
+        return values.limit(0)
+    own = F.flatten(F.transform(addresses, lambda a: lookup_prefixes(a, lengths)))
     return (
-        keyed.join(
-            prefixes.select(
-                F.col("family").alias("_family"), F.col("digits").alias("_digits"), F.col("prefix").alias("_prefix")
-            ),
-            ["_family", "_digits", "_prefix"],
-            "left_semi",
-        )
-        .drop("_family", "_digits", "_prefix")
+        values.withColumn("_prefix", F.explode_outer(own))
+        .join(prefixes, "_prefix", "left_semi")
+        .drop("_prefix")
         .distinct()
     )
 
@@ -80,7 +81,7 @@ def addresses_in_table(addresses: DataFrame, col: str, table: DataFrame, cidr_co
 def exclude_by_table(df: DataFrame, table: DataFrame, cidr_col: str) -> DataFrame:
     """``exclude_subnets`` for a table of subnets of any size.
 
-    Only the distinct values of each address column are tested (duplicates combine
+    Only the distinct values of the address columns are tested (duplicates combine
     before the shuffle, so a frequent address costs one row per task); the rows are
     then anti-joined on the value. The anti join keeps a frequent value spread out:
     AQE splits its partition on the row side.
@@ -89,18 +90,13 @@ def exclude_by_table(df: DataFrame, table: DataFrame, cidr_col: str) -> DataFram
     sets = [c for c in ADDRESS_SET_COLUMNS if c in df.columns]
     result = df
     if scalars:
-        values = reduce(
-            DataFrame.unionByName, [df.select(F.col(c).alias("_v")).where("_v is not null").distinct() for c in scalars]
-        ).distinct()
-        inside = addresses_in_table(
-            values.withColumn("_hex", ip_hex("_v")).where("_hex is not null"), "_hex", table, cidr_col
-        ).select("_v")
+        values = df.select(F.explode(F.array(*scalars)).alias("_v")).distinct()
+        inside = values_in_table(values, F.array("_v"), table, cidr_col)
         for c in scalars:
             result = result.join(inside.withColumnRenamed("_v", c), c, "left_anti")
     for c in sets:
-        values = df.select(F.col(c).alias("_v")).where(F.size("_v") > 0).distinct()
-        members = values.withColumn("_hex", F.explode(F.transform("_v", ip_hex))).where("_hex is not null")
-        inside = addresses_in_table(members, "_hex", table, cidr_col).select("_v").distinct()
+        values = df.select(F.col(c).alias("_v")).distinct()
+        inside = values_in_table(values, F.col("_v"), table, cidr_col)
         result = result.join(inside.withColumnRenamed("_v", c), c, "left_anti")
     return result.select(*df.columns)
 

@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from netloom.functions.tls import client_extensions, ja3, ja4, ja4s
+from netloom.session import cut_lineage
 from netloom.operators.ordered import BLOCK_BITS, asof_join, running_values
 
 JA3_JA4_COLUMNS = (
@@ -113,12 +114,16 @@ def latest_states(client_hello: DataFrame) -> DataFrame:
 
 
 def header_matches(http_header: DataFrame, client_hello: DataFrame, block_bits: int = BLOCK_BITS) -> DataFrame:
-    """Originator USER-AGENT headers with struct ``state``, NULL if none is known."""
+    """Originator USER-AGENT headers with struct ``state``, NULL if none is known.
+
+    The states are looked up twice and the headers split by outcome, so both are kept
+    in the shared checkpoint folder instead of being computed again.
+    """
     headers = http_header.where("name = 'USER-AGENT' and is_orig").select(
         "seq", "uid", "orig_h", "orig_p", F.coalesce("value", F.lit("")).alias("value")
     )
-    states = states_after_hello(client_hello, block_bits)
-    by_uid = asof_join(headers, states, ["uid"], "seq", "state", block_bits)
+    states = cut_lineage(states_after_hello(client_hello, block_bits))
+    by_uid = cut_lineage(asof_join(headers, states, ["uid"], "seq", "state", block_bits))
     unmatched = by_uid.where("state is null").drop("state")
     by_origin = asof_join(unmatched, states, ["orig_h", "orig_p"], "seq", "state", block_bits)
     return by_uid.where("state is not null").unionByName(by_origin)

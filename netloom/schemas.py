@@ -78,19 +78,30 @@ def log_schema(name: str) -> T.StructType:
     return T.StructType([T.StructField(c, spark_type(t)) for c, t in LOGS[name]])
 
 
-CLIENT_HELLO = T.StructType.fromDDL(
-    "seq BIGINT, ts TIMESTAMP, conn_start TIMESTAMP, uid STRING, orig_h STRING, orig_p INT,"
-    " resp_h STRING, resp_p INT, version BIGINT, ciphers ARRAY<BIGINT>, server_name STRING,"
-    " resumed BOOLEAN, curve STRING, next_protocol STRING"
+_TYPES = {
+    "bigint": T.LongType(), "int": T.IntegerType(), "string": T.StringType(), "boolean": T.BooleanType(),
+    "timestamp": T.TimestampType(), "binary": T.BinaryType(), "bigints": T.ArrayType(T.LongType()),
+    "options": T.MapType(T.IntegerType(), T.BinaryType()),
+}
+
+
+def _struct(**columns: str) -> T.StructType:
+    return T.StructType([T.StructField(name, _TYPES[kind]) for name, kind in columns.items()])
+
+
+CLIENT_HELLO = _struct(
+    seq="bigint", ts="timestamp", conn_start="timestamp", uid="string", orig_h="string", orig_p="int",
+    resp_h="string", resp_p="int", version="bigint", ciphers="bigints", server_name="string",
+    resumed="boolean", curve="string", next_protocol="string",
 )
-SERVER_HELLO = T.StructType.fromDDL(
-    "seq BIGINT, ts TIMESTAMP, conn_start TIMESTAMP, uid STRING, orig_h STRING, orig_p INT,"
-    " resp_h STRING, resp_p INT, version BIGINT, cipher BIGINT, server_name STRING"
+SERVER_HELLO = _struct(
+    seq="bigint", ts="timestamp", conn_start="timestamp", uid="string", orig_h="string", orig_p="int",
+    resp_h="string", resp_p="int", version="bigint", cipher="bigint", server_name="string",
 )
-TLS_EXTENSION = T.StructType.fromDDL("seq BIGINT, ts TIMESTAMP, uid STRING, is_orig BOOLEAN, code BIGINT")
-HTTP_HEADER = T.StructType.fromDDL(
-    "seq BIGINT, ts TIMESTAMP, uid STRING, orig_h STRING, orig_p INT, is_orig BOOLEAN,"
-    " name STRING, value STRING"
+TLS_EXTENSION = _struct(seq="bigint", ts="timestamp", uid="string", is_orig="boolean", code="bigint")
+HTTP_HEADER = _struct(
+    seq="bigint", ts="timestamp", uid="string", orig_h="string", orig_p="int", is_orig="boolean",
+    name="string", value="string",
 )
 TLS_EVENTS = {
     "client_hello": CLIENT_HELLO,
@@ -99,13 +110,11 @@ TLS_EVENTS = {
     "http_header": HTTP_HEADER,
 }
 
-PACKETS = T.StructType.fromDDL(
-    "run_id STRING, file STRING, packet_no BIGINT, ts TIMESTAMP, eth_src STRING, eth_dst STRING,"
-    " ip_src STRING, ip_dst STRING, proto INT, sport INT, dport INT, length BIGINT, payload BINARY"
-)
-DHCP_MESSAGES = T.StructType.fromDDL(
-    "run_id STRING, packet_no BIGINT, op INT, mac STRING, options MAP<INT, BINARY>"
+PACKETS = _struct(
+    run_id="string", file="string", packet_no="bigint", ts="timestamp", eth_src="string", eth_dst="string",
+    ip_src="string", ip_dst="string", proto="int", sport="int", dport="int", length="bigint", payload="binary",
 )
-INVENTORY = T.StructType.fromDDL(
-    "sensor_id STRING, pos INT, name STRING, mac STRING, ip STRING, up BOOLEAN, loopback BOOLEAN"
+DHCP_MESSAGES = _struct(run_id="string", packet_no="bigint", op="int", mac="string", options="options")
+INVENTORY = _struct(
+    sensor_id="string", pos="int", name="string", mac="string", ip="string", up="boolean", loopback="boolean"
 )
