@@ -15,6 +15,16 @@ from netloom.operators import dhcp, flows, inventory, payload, report, retention
 from netloom.operators.chunking import assign_chunks
 from netloom.plans import views as v
 from netloom.plans.run import process_logs
+from netloom.schemas import TLS_EVENTS
+from netloom.session import scratch_path
+from netloom.sinks.captures import write_captures
+from netloom.sinks.tables import read_published
+from netloom.sinks.zeek_tsv import log_lines, write_lines
+from netloom.sources import zeek_tsv
+from netloom.sources.captures import dhcp_messages, read_packets
+from netloom.sources.events import read_events
+from netloom.streaming import captures as captures_stream
+from netloom.streaming import tls as tls_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -794,3 +804,168 @@ def t4_run_pipeline(spark, folder):
             )
         )
     )
+
+
+# --- files: logs and captures written from the tables and read back ----------
+
+
+@query(
+    f"SELECT uid, epoch_us(ts) AS ts_us, orig_h, orig_p, resp_h, resp_p, proto FROM {sql(v.CONN)} c"
+)
+def s1_log_files_one_layout(spark, folder):
+    path = scratch_path(spark, "conn-logs")
+    conn = v.conn(spark, folder).withColumn("row_no", F.monotonically_increasing_id() + 1)
+    write_lines(log_lines(conn, "conn", "row_no"), path)
+    back = zeek_tsv.read_uniform(spark, path)
+    return back.select("uid", F.unix_micros("ts").alias("ts_us"), "orig_h", "orig_p", "resp_h", "resp_p", "proto")
+
+
+@query(
+    f"SELECT uid, epoch_us(ts) AS ts_us, query, coalesce(answers, '-') AS answers FROM {sql(v.DNS)} d WHERE NOT {_DNS_HIT}"
+)
+def s1_log_files_by_header_and_k1_rewritten(spark, folder):
+    path, kept_path = scratch_path(spark, "dns-logs"), scratch_path(spark, "dns-kept")
+    dns = v.dns(spark, folder).withColumn("row_no", F.substring("uid", 2, 20).cast("bigint") + 1)
+    write_lines(log_lines(dns, "dns", "row_no"), path)
+    read = zeek_tsv.read_log(spark, path, "dns", keep_line=True, folders=True)
+    kept = subnet.exclude_subnets(read, EXCLUDED)
+    headers = zeek_tsv.header_lines(zeek_tsv.read_lines(spark, path, folders=True))
+    rewritten = headers.unionByName(kept.select("file", "line_no", "line")).select(
+        F.regexp_extract("file", "run_id=([^/]*)", 1).alias("run_id"), F.lit("dns").alias("log"), "line_no", "line"
+    )
+    write_lines(rewritten, kept_path)
+    back = zeek_tsv.read_log(spark, kept_path, "dns", folders=True)
+    return back.select(
+        "uid", F.unix_micros("ts").alias("ts_us"), "query",
+        F.coalesce(F.array_join("answers", ","), F.lit("-")).alias("answers"),
+    )
+
+
+def _hex(number: Column, digits: int) -> Column:
+    return F.lpad(F.hex(number.cast("bigint")), digits, "0")
+
+
+def _quad_hex(address: Column) -> Column:
+    return F.substring(ip.ip_hex(address), 25, 8)
+
+
+def _frame(source: Column, target: Column, proto: Column, sport: Column, dport: Column, body: Column) -> Column:
+    """An Ethernet frame: 20-byte IPv4 header, ports, and a body given as hex digits."""
+    size = F.length(body) / 2 + 24
+    return F.unhex(
+        F.concat(
+            F.lit("02000000000202000000000108004500"), _hex(size, 4), F.lit("0000000040"), _hex(proto, 2), F.lit("0000"),
+            _quad_hex(source), _quad_hex(target), _hex(sport, 4), _hex(dport, 4), body,
+        )
+    )
+
+
+_CAPTURED = 4096
+
+
+@query(
+    f"SELECT epoch_us(ts) AS ts_us, ip_src, ip_dst, proto, sport, dport, 58 + packet_no % 100 AS length FROM {sql(v.PACKETS)} p"
+)
+def s6_captures_decoded(spark, folder):
+    return read_packets(spark, _event_captures(spark, folder)).select(
+        F.unix_micros("ts").alias("ts_us"), "ip_src", "ip_dst", "proto", "sport", "dport", "length"
+    )
+
+
+def _event_captures(spark: SparkSession, folder: str) -> str:
+    """Capture files of the packets view, 4,096 packets each."""
+    path = scratch_path(spark, "captures")
+    packets = v.packets(spark, folder)
+    body = F.repeat(F.lit("00"), (F.col("packet_no") % 100 + 20).cast("int"))
+    frame = _frame(*[F.col(c) for c in ("ip_src", "ip_dst", "proto", "sport", "dport")], body)
+    name = F.concat(F.lit("cap"), F.floor(F.col("packet_no") / _CAPTURED), F.lit(".pcap"))
+    write_captures(packets.select(name.alias("file"), "packet_no", "ts", frame.alias("frame")), path)
+    return path
+
+
+@query(
+    f"SELECT mac, op, params_text AS params, count(*) AS messages FROM {sql(v.DHCP_MESSAGES)} m GROUP BY mac, op, params_text"
+)
+def s7_dhcp_messages_decoded(spark, folder):
+    path = scratch_path(spark, "dhcp-captures")
+    orders = v.view(spark, folder, v.DHCP_MESSAGES)
+    zeros = F.lit("00")
+    body = F.concat(
+        F.lit("00000000"), _hex(F.col("op"), 2), F.lit("010600"), _hex(F.col("packet_no"), 8), F.repeat(zeros, F.lit(20)),
+        F.substring("client_hash", 1, 12), F.repeat(zeros, F.lit(202)), F.lit("6382536335010137"),
+        _hex(F.length("params") / 2, 2), F.col("params"), F.lit("FF"),
+    )
+    frame = _frame(F.lit("0.0.0.0"), F.lit("255.255.255.255"), F.lit(17), F.lit(68), F.lit(67), body)
+    name = F.concat(F.lit("dhcp"), F.floor(F.col("packet_no") / _CAPTURED), F.lit(".PCAP"))
+    frames = orders.select(
+        name.alias("file"), "packet_no", F.timestamp_seconds(F.col("packet_no") + 1700000000).alias("ts"), frame.alias("frame")
+    )
+    write_captures(frames, path)
+    messages = dhcp_messages(read_packets(spark, path))
+    params = F.coalesce(text.byte_list(F.try_element_at("options", F.lit(55))), F.lit(""))
+    return messages.groupBy("mac", "op", params.alias("params")).agg(F.count("*").alias("messages"))
+
+
+# --- streams over files written from the tables ------------------------------
+
+
+@query(
+    f"""WITH p AS (SELECT *, epoch_us(ts) AS t, packet_no // 4096 AS part FROM ({_ORDERED}) o),
+    g AS (SELECT *, CASE WHEN t - lag(t) OVER (PARTITION BY part, proto, a, b ORDER BY t) <= 21600000000 THEN 0 ELSE 1 END AS fresh FROM p),
+    f AS (SELECT *, sum(fresh) OVER (PARTITION BY part, proto, a, b ORDER BY t) AS flow FROM g),
+    flows AS (SELECT concat('cap', part) AS capture, min(t) AS first_us, arg_min(ip_src, t) AS orig_h, arg_min(ip_dst, t) AS resp_h,
+      count(*) AS packets FROM f GROUP BY part, proto, a, b, flow)
+    SELECT * FROM flows WHERE NOT (orig_h LIKE '10.0.1__.%' OR resp_h LIKE '10.0.1__.%')"""
+)
+def t2_capture_stream(spark, folder):
+    base = scratch_path(spark, "capture-stream")
+    options = captures_stream.Options(excluded_subnets="10.0.100.0/22, 10.0.104.0/21, 10.0.112.0/20, 10.0.128.0/18, 10.0.192.0/21", flow_gap_seconds=21600)
+    started = captures_stream.start(spark, _event_captures(spark, folder), f"{base}/out", f"{base}/checkpoint", options, max_files=8)
+    started.awaitTermination()
+    schema = flows.flows(v.packets(spark, folder)).schema
+    conn = read_published(spark, f"{base}/out", "conn", schema)
+    return conn.select(
+        F.regexp_extract("run_id", "^(cap[0-9]+)-", 1).alias("capture"), F.unix_micros("ts").alias("first_us"),
+        "orig_h", "resp_h", "packets",
+    )
+
+
+def _event_stream(spark: SparkSession, df: DataFrame, kind: str) -> DataFrame:
+    """An event table written as a folder of files and read as a stream."""
+    path = scratch_path(spark, f"events-{kind}")
+    names = [f.name for f in TLS_EVENTS[kind].fields]
+    full = df.withColumn("ts", F.timestamp_seconds("seq"))
+    if "conn_start" not in names:
+        full = full.drop("conn_start")
+    full.select(*names).write.parquet(path)
+    return read_events(spark, path, kind, stream=True)
+
+
+def _run_stream(spark: SparkSession, stream: DataFrame, name: str) -> DataFrame:
+    base = scratch_path(spark, name)
+    started = (
+        stream.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/checkpoint")
+        .trigger(availableNow=True).start()
+    )
+    started.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{base}/out")
+
+
+@query(f"WITH {_HELLOS} {_P1} UNION ALL {_P2}")
+def t3_client_fingerprint_stream(spark, folder):
+    tls_stream.use_state_store(spark)
+    stream = tls_stream.client_fingerprint_stream(
+        _event_stream(spark, v.client_hello(spark, folder), "client_hello"),
+        _event_stream(spark, v.http_header(spark, folder), "http_header"),
+    )
+    return _flat_ja3(_run_stream(spark, stream, "client-fingerprints"))
+
+
+@query(ORACLES["p3_ja4s_log"])
+def t3_server_fingerprint_stream(spark, folder):
+    tls_stream.use_state_store(spark)
+    stream = tls_stream.server_fingerprint_stream(
+        _event_stream(spark, v.server_hello(spark, folder), "server_hello"),
+        _event_stream(spark, v.tls_extension(spark, folder), "tls_extension"),
+    )
+    return _flat_text(_run_stream(spark, stream, "server-fingerprints"), ("server_extensions",), ())
