@@ -185,16 +185,34 @@ def quad_pattern(cidrs: list[Cidr]) -> str | None:
     return "^(?:" + "|".join(dict.fromkeys(parts)) + ")$" if parts else None
 
 
+def _colon_hint(cidrs: list[Cidr]) -> str:
+    """Regular expression that any text with a colon inside one of ``cidrs`` matches.
+
+    It spares most IPv6 addresses the conversion: a subnet whose first digit is not 0
+    shows in the text as written, and a mapped IPv4 address has a group ``ffff``.
+    """
+    hints = []
+    for cidr in cidrs:
+        if cidr.family == "4":
+            hints.append("ffff:")
+        elif cidr.bits < 4 or cidr.lo[0] == "0":
+            return ""
+        else:
+            hints.append("^" + cidr.lo[: min(cidr.bits // 4, 4)])
+    return "(?i)" + "|".join(dict.fromkeys(hints))
+
+
 def in_cidrs(address: Column | str, cidrs: list[Cidr]) -> Column:
     """True if the text is an address inside one of ``cidrs``, never NULL.
 
     One pattern tests all subnets. A dotted quad is matched as it is written; only
-    text with a colon is turned into its key.
+    text with a colon is turned into its key, and only if it can be inside.
     """
     ip = _c(address)
     quads = quad_pattern(cidrs)
     v4 = ip.rlike(quads) if quads else F.lit(False)
-    return F.coalesce(F.when(ip.contains(":"), ip_hex(ip).rlike(cidr_pattern(cidrs))).otherwise(v4), F.lit(False))
+    v6 = ip.rlike(_colon_hint(cidrs)) & ip_hex(ip).rlike(cidr_pattern(cidrs))
+    return F.coalesce(F.when(ip.contains(":"), v6).otherwise(v4), F.lit(False))
 
 
 # --- subnets given as a table ------------------------------------------------

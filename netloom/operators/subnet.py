@@ -24,17 +24,15 @@ MAX_LISTED = 1000
 def touches(columns: list[str], cidrs: list[Cidr]) -> Column:
     """True where one of the row's addresses is in one of the subnets.
 
-    The first hit ends the row. The addresses are bound in a lambda, so a column that is itself computed (a cell
-    cut out of a text line) is computed once even though filters get pushed down.
+    Later columns are looked at only if the earlier ones are not inside.
     """
     if not cidrs:
         return F.lit(False)
 
-    def inside(address: Column) -> Column:
+    def inside(address: Column | str) -> Column:
         return in_cidrs(address, cidrs)
 
-    scalars = [F.col(c) for c in ADDRESS_COLUMNS if c in columns]
-    tests = [F.exists(F.array(*scalars), inside)] if scalars else []
+    tests = [inside(c) for c in ADDRESS_COLUMNS if c in columns]
     tests += [F.coalesce(F.exists(F.col(c), inside), F.lit(False)) for c in ADDRESS_SET_COLUMNS if c in columns]
     return reduce(Column.__or__, tests, F.lit(False))
 
