@@ -67,20 +67,32 @@ def running_values(
     )
 
 
-def asof_join(
+def asof_number(
     left: DataFrame, right: DataFrame, keys: list[str], order: str, name: str, block_bits: int = BLOCK_BITS
 ) -> DataFrame:
-    """``left`` plus struct ``name``: the latest ``right`` row of the key before it.
+    """``left`` plus ``name``: the number of the latest ``right`` row of the key before it.
 
-    NULL where there is none, also for a NULL key. Left rows come out once each.
+    NULL where there is none, also for a NULL key. Left rows come out once each. Only
+    keys and numbers of the right side are moved.
     """
-    right = right.dropna(subset=keys)
-    empty_left = F.lit(None).cast(left.select(F.struct("*").alias("s")).schema["s"].dataType)
-    empty_right = F.lit(None).cast(right.select(F.struct("*").alias("s")).schema["s"].dataType)
-    events = left.select(*keys, order, F.struct("*").alias("_l"), empty_right.alias("_r")).unionByName(
-        right.select(*keys, order, empty_left.alias("_l"), F.struct("*").alias("_r"))
+    row = F.struct(*left.columns)
+    empty = F.lit(None).cast(left.select(row.alias("s")).schema["s"].dataType)
+    events = left.select(*keys, order, row.alias("_l"), F.lit(None).cast("bigint").alias("_r")).unionByName(
+        right.dropna(subset=keys).select(*keys, order, empty.alias("_l"), F.col(order).cast("bigint").alias("_r"))
     )
     known = running_values(
         events, keys, order, lasts={name: F.col("_r")}, tie=F.col("_l").isNull(), block_bits=block_bits
     )
     return known.where("_l is not null").select("_l.*", name)
+
+
+def asof_join(
+    left: DataFrame, right: DataFrame, keys: list[str], order: str, name: str, block_bits: int = BLOCK_BITS
+) -> DataFrame:
+    """``left`` plus struct ``name``: the latest ``right`` row of the key before it.
+
+    ``order`` is unique on the right side. NULL as in ``asof_number``.
+    """
+    matched = asof_number(left, right, keys, order, "_match", block_bits)
+    rows = right.select(F.col(order).alias("_match"), F.struct("*").alias(name))
+    return matched.join(rows, "_match", "left").drop("_match")

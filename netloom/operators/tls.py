@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from netloom.functions.tls import client_extensions, ja3, ja4, ja4s
 from netloom.session import cut_lineage
-from netloom.operators.ordered import BLOCK_BITS, asof_join, running_values
+from netloom.operators.ordered import BLOCK_BITS, asof_number, running_values
 
 JA3_JA4_COLUMNS = (
     "ts", "uid", "orig_h", "orig_p", "resp_h", "resp_p", "ja3", "ja3_hash", "ja4", "ja4_hash",
@@ -117,16 +117,18 @@ def header_matches(http_header: DataFrame, client_hello: DataFrame, block_bits:
     """Originator USER-AGENT headers with struct ``state``, NULL if none is known.
 
     The states are looked up twice and the headers split by outcome, so both are kept
-    in the shared checkpoint folder instead of being computed again.
+    in the shared checkpoint folder instead of being computed again. The lookups find
+    the number of a state; its row is joined at the end.
     """
     headers = http_header.where("name = 'USER-AGENT' and is_orig").select(
         "seq", "uid", "orig_h", "orig_p", F.coalesce("value", F.lit("")).alias("value")
     )
     states = cut_lineage(states_after_hello(client_hello, block_bits))
-    by_uid = cut_lineage(asof_join(headers, states, ["uid"], "seq", "state", block_bits))
-    unmatched = by_uid.where("state is null").drop("state")
-    by_origin = asof_join(unmatched, states, ["orig_h", "orig_p"], "seq", "state", block_bits)
-    return by_uid.where("state is not null").unionByName(by_origin)
+    by_uid = cut_lineage(asof_number(headers, states, ["uid"], "seq", "_match", block_bits))
+    unmatched = by_uid.where("_match is null").drop("_match")
+    by_origin = asof_number(unmatched, states, ["orig_h", "orig_p"], "seq", "_match", block_bits)
+    rows = states.select(F.col("seq").alias("_match"), F.struct("*").alias("state"))
+    return by_uid.where("_match is not null").unionByName(by_origin).join(rows, "_match", "left").drop("_match")
 
 
 def header_rows(http_header: DataFrame, client_hello: DataFrame, block_bits: int = BLOCK_BITS) -> DataFrame:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,7 +30,24 @@ def build_session(app: str = "netloom", master: str | None = None, **conf: str)
     }
     for key, value in settings.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    return ship_package(builder.getOrCreate())
+
+
+def ship_package(spark: SparkSession) -> SparkSession:
+    """Makes this package importable in Python workers, wherever they run.
+
+    Once per application; a cluster that installs the package loses nothing by it.
+    """
+    context = spark.sparkContext
+    if not getattr(context, "_netloom_shipped", False):
+        root = Path(__file__).resolve().parent
+        archive = Path(tempfile.mkdtemp(prefix="netloom-")) / "netloom.zip"
+        with zipfile.ZipFile(archive, "w") as out:
+            for source in sorted(root.rglob("*.py")):
+                out.write(source, source.relative_to(root.parent))
+        context.addPyFile(str(archive))
+        context._netloom_shipped = True
+    return spark
 
 
 def shared_dir(spark: SparkSession) -> str:
