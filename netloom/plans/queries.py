@@ -18,10 +18,10 @@ from netloom.plans.run import process_logs
 from netloom.schemas import TLS_EVENTS
 from netloom.session import scratch_path
 from netloom.sinks.captures import write_captures
-from netloom.sinks.tables import read_published
+from netloom.sinks.tables import publish_runs, read_published
 from netloom.sinks.zeek_tsv import log_lines, write_lines
 from netloom.sources import zeek_tsv
-from netloom.sources.captures import dhcp_messages, read_packets
+from netloom.sources.captures import dhcp_messages, read_packets, stable_between
 from netloom.sources.events import read_events
 from netloom.streaming import captures as captures_stream
 from netloom.streaming import tls as tls_stream
@@ -477,19 +477,19 @@ def _header_column() -> Column:
     return F.element_at(F.create_map(*[F.lit(x) for kv in _HEADER_BYTES.items() for x in kv]), F.col("log"))
 
 
-def _chunk_sql(lines: str, head: str, limit: int) -> str:
+def _chunk_sql(lines: str, head: str, limit: int | str) -> str:
     """Chunk of every line, hopping from chunk start to chunk start."""
     return f"""
 RECURSIVE sized AS MATERIALIZED (
   SELECT run_id, log, line_no, line, octet_length(encode(line)) + 1 AS n, {head} AS head,
-    row_number() OVER w AS rn, CAST(sum(octet_length(encode(line)) + 1) OVER w AS BIGINT) AS upto
+    {limit} AS lim, row_number() OVER w AS rn, CAST(sum(octet_length(encode(line)) + 1) OVER w AS BIGINT) AS upto
   FROM {lines} l WINDOW w AS (PARTITION BY run_id, log ORDER BY line_no)),
 hop AS MATERIALIZED (
   SELECT a.run_id, a.log, a.rn, greatest(b.rn, a.rn + 1) AS target FROM
-    (SELECT *, upto - n + {limit} - head AS room FROM sized) a ASOF JOIN sized b
+    (SELECT *, upto - n + lim - head AS room FROM sized) a ASOF JOIN sized b
     ON a.run_id = b.run_id AND a.log = b.log AND a.room < b.upto),
 opening AS (
-  SELECT run_id, log, greatest(min(rn), 2) AS target FROM sized WHERE upto > {limit} GROUP BY run_id, log),
+  SELECT run_id, log, greatest(min(rn), 2) AS target FROM sized WHERE upto > lim GROUP BY run_id, log),
 starts(run_id, log, rn, chunk_no) AS (
   SELECT run_id, log, target, CAST(2 AS BIGINT) FROM opening
   UNION ALL
@@ -576,6 +576,31 @@ def k3_payload_round_trip(spark, folder):
     return parts.select("run_id", "chunk_no", *[F.md5(key).alias(key) for key in payload.PARTS])
 
 
+# The documents are a run of their own, larger than a megabyte; every log has a header.
+_SIZED_RUNS = f"""
+SELECT CASE log WHEN 'ja3_ja4' THEN 'large' ELSE run_id END AS run_id, log, line_no, concat('l ', line) AS line
+FROM ({v.LOG_LINES}) x
+"""
+_LARGE_OR_NOT = (
+    "CASE WHEN CAST(sum(octet_length(encode(line)) + 1) OVER (PARTITION BY run_id) AS BIGINT) // 1048576 > 1"
+    f" THEN {payload.log_chunk_bytes(1)} ELSE {1 << 62} END"
+)
+
+
+@query(
+    f"WITH {_chunk_sql(sql(_SIZED_RUNS), 'length(log) + 3', _LARGE_OR_NOT)}, {_TEXTS} SELECT run_id, chunk_no, "
+    + ", ".join(f"md5({_PART.format(log=log)}) AS {key}" for key, log in payload.PARTS.items())
+    + " FROM texts GROUP BY run_id, chunk_no"
+)
+def k3_payloads_of_whole_runs(spark, folder):
+    data = v.view(spark, folder, _SIZED_RUNS)
+    header = data.select("run_id", "log").distinct().select(
+        "run_id", "log", F.lit(-1).cast("bigint").alias("line_no"), F.concat(F.lit("# "), F.col("log")).alias("line")
+    )
+    parts = payload.unpack(payload.build_payloads(data.unionByName(header), max_mb=1))
+    return parts.select("run_id", "chunk_no", *[F.md5(key).alias(key) for key in payload.PARTS])
+
+
 @query(
     f"WITH {_chunk_sql(sql(v.LOG_LINES), 'length(log) + 3', 30000)} SELECT run_id, chunk_no, "
     + ", ".join(f"count(*) FILTER (WHERE log = '{log}') AS {key}" for key, log in payload.PARTS.items())
@@ -841,6 +866,63 @@ def s1_log_files_by_header_and_k1_rewritten(spark, folder):
     )
 
 
+@query(
+    "SELECT event_id, concat('D', event_id) AS uid, CASE event_id % 3 WHEN 0 THEN '-' ELSE '1.1.1.1' END AS orig_h,"
+    " CASE event_id % 3 WHEN 2 THEN concat(event_type, '.example') ELSE '-' END AS query,"
+    " CASE event_id % 3 WHEN 2 THEN CAST(user_id AS VARCHAR) ELSE '-' END AS note FROM events"
+)
+def f7_comments_f8_short_rows_f16_columns_by_name(spark, folder):
+    """A log with its own column order, comments and short rows."""
+    path = scratch_path(spark, "short-rows")
+    events = v.table(spark, folder, "events")
+    full = F.concat_ws("|", F.concat(F.lit("D"), "event_id"), F.lit("1.1.1.1"), F.concat("event_type", F.lit(".example")), "user_id")
+    kind = F.col("event_id") % 3
+    line = F.when(kind == 0, F.concat(F.lit("D"), "event_id")).when(kind == 1, F.substring_index(full, "|", 2)).otherwise(full)
+    data = events.select(F.lit("r").alias("run_id"), F.lit("dns").alias("log"), (F.col("event_id") + 1).alias("line_no"), line.alias("line"))
+    comment = events.where("event_id % 10 = 0").select("event_id").select(
+        F.lit("r").alias("run_id"), F.lit("dns").alias("log"), (F.col("event_id") + 1).alias("line_no"), F.lit("# a comment").alias("line")
+    )
+    top = ["#separator |", "#set_separator|,", "#fields|uid|id.orig_h|query|note", "#types|string|addr|string|string"]
+    header = data.select("run_id").distinct().select(F.posexplode(F.array(*[F.lit(t) for t in top])).alias("i", "line")).select(
+        F.lit("r").alias("run_id"), F.lit("dns").alias("log"), (F.col("i") - 10).cast("bigint").alias("line_no"), "line"
+    )
+    write_lines(data.unionByName(comment).unionByName(header), path)
+    back = zeek_tsv.read_log(spark, path, "dns", folders=True)
+    unset = F.lit("-")
+    return back.select(
+        F.substring("uid", 2, 20).cast("bigint").alias("event_id"), "uid", F.coalesce("orig_h", unset).alias("orig_h"),
+        F.coalesce("query", unset).alias("query"), F.coalesce(F.try_element_at("extra", F.lit("note")), unset).alias("note"),
+    )
+
+
+@query(
+    f"SELECT 'conn' AS log, run_id, count(*) AS n FROM {sql(v.CONN)} c WHERE NOT {_CONN_HIT} GROUP BY run_id"
+    f" UNION ALL SELECT 'dns', run_id, count(*) FROM {sql(v.DNS)} d WHERE NOT {_DNS_HIT} GROUP BY run_id"
+    f" UNION ALL SELECT 'dhcp', run_id, count(*) FROM {sql(v.DHCP)} h WHERE NOT {_DHCP_HIT} GROUP BY run_id"
+)
+def k2_published_tables(spark, folder):
+    base = scratch_path(spark, "published")
+    logs = process_logs(_three_logs(spark, folder), excluded_subnets=EXCLUDED)
+    publish_runs(logs, base, "b1")
+    parts = [
+        read_published(spark, base, name, df.schema).groupBy("run_id").agg(F.count("*").alias("n"))
+        .select(F.lit(name).alias("log"), "run_id", "n")
+        for name, df in logs.items()
+    ]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query("SELECT concat('/in/', doc_id, '.pcap') AS path, n_chars AS length FROM documents WHERE doc_id % 3 <> 0 AND doc_id % 5 <> 0")
+def s5_stable_captures(spark, folder):
+    """Two listings: every third file grew in between, every fifth is new."""
+    docs = v.table(spark, folder, "documents")
+    path = F.concat(F.lit("/in/"), "doc_id", F.lit(".pcap")).alias("path")
+    later = docs.select(path, F.col("n_chars").alias("length"))
+    grown = F.when(F.col("doc_id") % 3 == 0, F.col("n_chars") - 1).otherwise(F.col("n_chars"))
+    earlier = docs.where("doc_id % 5 <> 0").select(path, grown.alias("length"))
+    return stable_between(earlier, later)
+
+
 def _hex(number: Column, digits: int) -> Column:
     return F.lpad(F.hex(number.cast("bigint")), digits, "0")
 
