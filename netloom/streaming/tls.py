@@ -11,10 +11,12 @@ long after it was last written or matched; by default it is kept.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 from typing import Any
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,6 +25,10 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from netloom.functions.tls import ja4, ja4s
 from netloom.operators.tls import JA3_JA4_COLUMNS, JA4S_COLUMNS, described_hellos
 
+# The process that starts a stateful operator does not see files added to the session,
+# so the processors below are sent along whole.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 _S, _L, _I = T.StringType(), T.LongType(), T.IntegerType()
 _TEXTS = T.ArrayType(_S)
 _STATE_FIELDS = [
