@@ -17,7 +17,7 @@ HEADLINE = (
     "f1_conn_outside_subnet_by_proto", "f2_dns_answers_kept", "f3_all_logs_filtered", "j2_subnet_table_anti_join",
     "f9_conn_sample", "a1_dhcp_fingerprints", "j1_dhcp_filled", "p1_client_hello_rows", "p3_ja4s_log", "p4_ja3_ja4_log",
     "w2_running_state", "p6_flows", "t1_capture_windows", "w3_greedy_chunks", "k3_payload_round_trip",
-    "s1_log_files_one_layout", "s6_captures_decoded", "a7_run_summary", "t4_run_pipeline",
+    "s1_log_files_one_layout", "s6_captures_decoded", "a7_run_summary", "t4_whole_run",
 )
 
 

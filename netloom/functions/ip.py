@@ -202,17 +202,24 @@ def _colon_hint(cidrs: list[Cidr]) -> str:
     return "(?i)" + "|".join(dict.fromkeys(hints))
 
 
+def quad_in_cidrs(address: Column, cidrs: list[Cidr]) -> Column:
+    """``in_cidrs`` for dotted quads: matched as they are written."""
+    quads = quad_pattern(cidrs)
+    return F.coalesce(address.rlike(quads), F.lit(False)) if quads else F.lit(False)
+
+
+def colon_in_cidrs(address: Column, cidrs: list[Cidr]) -> Column:
+    """``in_cidrs`` for text with a colon: turned into its key if it can be inside."""
+    inside = address.rlike(_colon_hint(cidrs)) & ip_hex(address).rlike(cidr_pattern(cidrs))
+    return F.coalesce(address.contains(":") & inside, F.lit(False))
+
+
 def in_cidrs(address: Column | str, cidrs: list[Cidr]) -> Column:
     """True if the text is an address inside one of ``cidrs``, never NULL.
 
-    One pattern tests all subnets. A dotted quad is matched as it is written; only
-    text with a colon is turned into its key, and only if it can be inside.
+    One pattern tests all subnets.
     """
-    ip = _c(address)
-    quads = quad_pattern(cidrs)
-    v4 = ip.rlike(quads) if quads else F.lit(False)
-    v6 = ip.rlike(_colon_hint(cidrs)) & ip_hex(ip).rlike(cidr_pattern(cidrs))
-    return F.coalesce(F.when(ip.contains(":"), v6).otherwise(v4), F.lit(False))
+    return quad_in_cidrs(_c(address), cidrs) | colon_in_cidrs(_c(address), cidrs)
 
 
 # --- subnets given as a table ------------------------------------------------

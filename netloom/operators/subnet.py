@@ -12,7 +12,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from netloom.functions.ip import Cidr, cidr_list, cidr_prefixes, in_cidrs, lookup_prefixes
+from netloom.functions.ip import (
+    Cidr, cidr_list, cidr_prefixes, colon_in_cidrs, in_cidrs, lookup_prefixes, quad_in_cidrs,
+)
 from netloom.schemas import ADDRESS_COLUMNS, ADDRESS_SET_COLUMNS, LOG_NAMES
 
 Cidrs = str | list[str]
@@ -24,16 +26,19 @@ MAX_LISTED = 1000
 def touches(columns: list[str], cidrs: list[Cidr]) -> Column:
     """True where one of the row's addresses is in one of the subnets.
 
-    Later columns are looked at only if the earlier ones are not inside.
+    Dotted quads are matched in compiled code; the costlier test of text with a colon
+    is entered only by rows that have some.
     """
     if not cidrs:
         return F.lit(False)
-
-    def inside(address: Column | str) -> Column:
-        return in_cidrs(address, cidrs)
-
-    tests = [inside(c) for c in ADDRESS_COLUMNS if c in columns]
-    tests += [F.coalesce(F.exists(F.col(c), inside), F.lit(False)) for c in ADDRESS_SET_COLUMNS if c in columns]
+    scalars = [F.col(c) for c in ADDRESS_COLUMNS if c in columns]
+    tests = [quad_in_cidrs(c, cidrs) for c in scalars]
+    if scalars:
+        colon = reduce(Column.__or__, [F.coalesce(c.contains(":"), F.lit(False)) for c in scalars])
+        tests.append(colon & F.exists(F.array(*scalars), lambda a: colon_in_cidrs(a, cidrs)))
+    for c in ADDRESS_SET_COLUMNS:
+        if c in columns:
+            tests.append(F.coalesce(F.exists(F.col(c), lambda a: in_cidrs(a, cidrs)), F.lit(False)))
     return reduce(Column.__or__, tests, F.lit(False))
 
 

@@ -455,17 +455,11 @@ def t1_capture_windows(spark, folder):
     return windows.groupBy("run_id").agg(F.count("*").alias("packets"), F.sum("length").alias("bytes"))
 
 
-@query(
-    f"SELECT run_id, row_number() OVER (PARTITION BY run_id ORDER BY ts, packet_no) AS position, packet_no"
-    f" FROM {sql(v.PACKETS)} p QUALIFY position <= 20"
-)
-def u1_merged_captures_first_packets(spark, folder):
+@query(f"SELECT run_id, packet_no, epoch_us(ts) AS ts_us, proto FROM {sql(v.PACKETS)} p")
+def u1_merged_captures(spark, folder):
     everything = v.packets(spark, folder)
     merged = flows.merge_captures([everything.where("proto = 6"), everything.where("proto <> 6")])
-    from pyspark.sql import Window
-
-    place = F.row_number().over(Window.partitionBy("run_id").orderBy("ts", "packet_no"))
-    return merged.select("run_id", place.alias("position"), "packet_no").where("position <= 20")
+    return merged.select("run_id", "packet_no", F.unix_micros("ts").alias("ts_us"), "proto")
 
 
 # --- chunks and payloads -----------------------------------------------------
@@ -815,7 +809,7 @@ def a7_run_summary(spark, folder):
     f" UNION ALL SELECT 'dhcp', h.mac, coalesce(h.param_req_list, f.fingerprint, '-') FROM {sql(v.DHCP)} h"
     f" LEFT JOIN ({_FINGERPRINTS}) f ON h.run_id = f.run_id AND h.mac = f.mac WHERE NOT {_DHCP_HIT}"
 )
-def t4_run_pipeline(spark, folder):
+def t4_whole_run(spark, folder):
     prints = dhcp.dhcp_fingerprints(v.dhcp_messages(spark, folder))
     logs = process_logs(_three_logs(spark, folder), prints, 50, EXCLUDED)
     none = F.lit("-").alias("params")

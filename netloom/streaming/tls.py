@@ -6,7 +6,9 @@ group. Server events are keyed by uid. Events of a micro-batch are taken in ``se
 order; an event that arrives after a later one was handled counts as later.
 
 State values live in the state store. ``idle`` lets a connection's state expire that
-long after it was last written or matched; by default it is kept.
+long after it was last written or matched; by default it is kept. Expiry goes by
+processing time, so such a stream needs a processing-time trigger: run with
+``availableNow`` it would not end.
 """
 
 from __future__ import annotations

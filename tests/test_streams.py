@@ -1,0 +1,64 @@
+"""TLS streams over files that arrive in several batches give what the batch job gives."""
+
+from datetime import datetime, timezone
+
+from netloom import schemas
+from netloom.operators import tls
+from netloom.sources.events import read_events
+from netloom.streaming import tls as stream
+
+T0 = datetime(2024, 1, 1, tzinfo=timezone.utc)
+HELLOS = [
+    (1, "a", 771, [1, 2], "n1"), (2, "b", 772, [3], None), (5, "a", 772, [4], None), (7, "c", 771, [], None), (9, "a", 771, [5], "n2"),
+]
+HEADERS = [(3, "a", "ua"), (4, "x", "by address"), (6, "a", ""), (8, "c", "q"), (10, "a", "z"), (0, "a", "too early")]
+ORIGIN = {"a": ("10.0.0.1", 1), "b": ("10.0.0.2", 2), "c": ("10.0.0.3", 3), "x": ("10.0.0.2", 2)}
+
+
+def hello(seq, uid, version, ciphers, name):
+    return (seq, T0, T0, uid, *ORIGIN[uid], "9.9.9.9", 443, version, ciphers, name, None, None, None)
+
+
+def header(seq, uid, value):
+    return (seq, T0, uid, *ORIGIN[uid], True, "USER-AGENT", value)
+
+
+def run(spark, frame, base):
+    query = (
+        frame.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/cp")
+        .trigger(availableNow=True).start()
+    )
+    assert query.awaitTermination(120)
+
+
+def test_client_stream_in_steps(spark, tmp_path):
+    stream.use_state_store(spark)
+    events = {"client_hello": [hello(*h) for h in HELLOS], "http_header": [header(*h) for h in HEADERS]}
+    for low, high in ((0, 4), (4, 7), (7, 11)):
+        for kind, rows in events.items():
+            part = [r for r in rows if low <= r[0] < high]
+            spark.createDataFrame(part, schemas.TLS_EVENTS[kind]).write.mode("append").parquet(str(tmp_path / kind))
+        frame = stream.client_fingerprint_stream(
+            *(read_events(spark, str(tmp_path / kind), kind, stream=True) for kind in events)
+        )
+        run(spark, frame, tmp_path)
+    got = spark.read.schema(frame.schema).parquet(str(tmp_path / "out")).collect()
+    batch = tls.client_fingerprints(*(spark.createDataFrame(rows, schemas.TLS_EVENTS[kind]) for kind, rows in events.items()))
+    assert sorted(map(str, got)) == sorted(map(str, batch.collect())) and len(got) == 7
+
+
+def test_server_stream_in_steps(spark, tmp_path):
+    stream.use_state_store(spark)
+    hellos = [(3, T0, T0, "a", "1.1.1.1", 1, "2.2.2.2", 443, 771, 9, None), (6, T0, T0, "a", "1.1.1.1", 1, "2.2.2.2", 443, 772, 8, "n")]
+    codes = [(1, T0, "a", False, 43), (2, T0, "a", True, 1), (4, T0, "a", False, 51), (5, T0, "b", False, 7)]
+    for low, high in ((0, 4), (4, 7)):
+        for kind, rows in (("server_hello", hellos), ("tls_extension", codes)):
+            part = [r for r in rows if low <= r[0] < high]
+            spark.createDataFrame(part, schemas.TLS_EVENTS[kind]).write.mode("append").parquet(str(tmp_path / kind))
+        frame = stream.server_fingerprint_stream(
+            read_events(spark, str(tmp_path / "server_hello"), "server_hello", stream=True),
+            read_events(spark, str(tmp_path / "tls_extension"), "tls_extension", stream=True),
+        )
+        run(spark, frame, tmp_path)
+    got = spark.read.schema(frame.schema).parquet(str(tmp_path / "out")).collect()
+    assert sorted(r.ja4s for r in got) == ["t771_9_43", "t772_8_43-51"]
