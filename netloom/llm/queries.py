@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from netloom.llm import near_dedup
+from netloom.llm import decontaminate, near_dedup, packing
 from netloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -49,3 +49,33 @@ SELECT doc_id, len(shingles) AS n_shingles, component_id, doc_id = component_id
 def op1_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Near-duplicate groups of all documents."""
     return near_dedup.near_duplicates(table(spark, folder, "documents")).drop("text_key")
+
+
+@query()
+def op4_packing(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents packed into sequences of 2048 tokens."""
+    return packing.packed(table(spark, folder, "documents"))
+
+
+@query(r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                             '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents),
+b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                         '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM benchmark),
+wb AS (SELECT DISTINCT item_id, size, array_to_string(words[i:i + size - 1], ' ') AS part
+       FROM (SELECT item_id, words, least(len(words), 10) AS size, unnest(range(1, len(words) - least(len(words), 10) + 2)) AS i
+             FROM b WHERE len(words) > 0)),
+wd AS (SELECT doc_id, i, size, array_to_string(words[i:i + size - 1], ' ') AS part
+       FROM (SELECT doc_id, words, size, unnest(range(1, len(words) - size + 2)) AS i
+             FROM d, (SELECT DISTINCT size FROM wb) WHERE len(words) >= size)),
+m AS (SELECT doc_id, i, size, item_id FROM wd JOIN wb USING (size, part)),
+hit AS (SELECT doc_id, count(DISTINCT place) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + size)) AS place FROM m) GROUP BY 1),
+ids AS (SELECT doc_id, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS joined
+        FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS id FROM m) GROUP BY 1)
+SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+       sha256(coalesce(joined, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN ids USING (doc_id)
+""")
+def op8_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    """Benchmark passages in all documents."""
+    return decontaminate.digest(decontaminate.contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark")))
