@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from netloom.llm import decontaminate, near_dedup, packing
-from netloom.llm.common import table
+from netloom.llm import decontaminate, language_id, line_dedup, near_dedup, packing, quality_model, quality_rules, toxicity
+from netloom.llm.common import id_remainder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -79,3 +80,75 @@ FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN ids USING (doc_id)
 def op8_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     """Benchmark passages in all documents."""
     return decontaminate.digest(decontaminate.contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark")))
+
+
+@query()
+def op2_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """Toxicity of all documents, learned from the labels of four of five."""
+    docs, held = table(spark, folder, "documents"), id_remainder(F.col("doc_id"), 5) == 0
+    labels = table(spark, folder, "labels").select("doc_id", F.col("toxic").alias("label"))
+    return _scores(toxicity.scored(docs, toxicity.trained(docs, labels, ~held)), held)
+
+
+@query(r"""
+WITH lines AS (
+  SELECT doc_id, source, place, trim(line, E' \t\r') AS line FROM (
+    SELECT doc_id, source, unnest(range(1, len(lines) + 1)) AS place, unnest(lines) AS line
+    FROM (SELECT doc_id, source, string_split(text, E'\n') AS lines FROM documents WHERE text IS NOT NULL))),
+wide AS (SELECT line, min(doc_id * 1000000 + place) AS first FROM lines WHERE line <> '' GROUP BY 1 HAVING count(DISTINCT source) >= 10),
+lost AS (SELECT doc_id, list(place) AS lost FROM lines JOIN wide USING (line) WHERE doc_id * 1000000 + place <> first GROUP BY 1)
+SELECT d.doc_id,
+       CASE WHEN lost IS NULL THEN text ELSE array_to_string([x[2] FOR x IN [[i::VARCHAR, s[i]] FOR i IN range(1, len(s) + 1)] IF NOT list_contains(lost, x[1]::BIGINT)], E'\n') END AS text,
+       coalesce(len(s), 0)::BIGINT AS n_lines, coalesce(len(lost), 0)::BIGINT AS n_removed
+FROM (SELECT doc_id, text, string_split(text, E'\n') AS s FROM documents) d LEFT JOIN lost USING (doc_id)
+""")
+def op3_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents without the lines that ten sites or more share."""
+    cleaned = line_dedup.without_widespread_lines(table(spark, folder, "documents"))
+    return cleaned.select("doc_id", "text", "n_lines", "n_removed")
+
+
+@query(r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS part FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM d WHERE len(w) >= 3)),
+r AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, part) AS n FROM g) WHERE n > 1),
+c AS (SELECT doc_id, count(DISTINCT place) AS n FROM (SELECT doc_id, unnest(range(i, i + 3)) AS place FROM r) GROUP BY 1),
+l AS (SELECT doc_id, count(*) AS n, count(DISTINCT line) AS m FROM (SELECT doc_id, unnest(string_split(text, E'\n')) AS line FROM d)
+      WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY 1),
+f AS (SELECT doc_id, text, w, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
+             length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g'))::BIGINT AS n_symbols, (coalesce(l.n, 0) - coalesce(l.m, 0))::BIGINT AS n_dup_lines,
+             coalesce(c.n, 0)::BIGINT AS n_repeat_words, coalesce(l.n, 0) AS n_lines
+      FROM d LEFT JOIN c USING (doc_id) LEFT JOIN l USING (doc_id)),
+b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM f)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND word_chars BETWEEN 2 * n_words AND 15 * n_words AND 10 * n_symbols <= n_words AND 100 * n_dup_lines <= 30 * n_lines
+       AND 10 * length(regexp_replace(text, '[^!]+', '', 'g')) <= n_words
+       AND 100 * length(regexp_replace(text, '[^A-Z]+', '', 'g')) <= 30 * length(regexp_replace(text, '[^A-Za-z]+', '', 'g'))
+       AND 100 * len([x FOR x IN w IF regexp_matches(x, '\p{L}')]) >= 70 * n_words AS kept
+FROM b
+""")
+def op5_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    """Quality numbers and the verdict of the cascade for all documents."""
+    return quality_rules.judged(table(spark, folder, "documents")).drop("rejected_by")
+
+
+@query()
+def op6_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    """The language of all documents, learned from three of four."""
+    docs, held = table(spark, folder, "documents"), id_remainder(F.col("doc_id"), 4) == 2
+    found = language_id.predicted(docs, language_id.trained(docs, ~held))
+    return found.select("doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
+@query()
+def op7_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    """Quality of all documents, learned from the labels of two of three."""
+    docs, held = table(spark, folder, "documents"), id_remainder(F.col("doc_id"), 3) == 1
+    labels = table(spark, folder, "labels").select("doc_id", F.col("quality").alias("label"))
+    return _scores(toxicity.scored(docs, quality_model.trained(docs, labels, ~held)), held)
+
+
+def _scores(scored: DataFrame, held: F.Column) -> DataFrame:
+    return scored.select(
+        "doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
+    )
