@@ -10,11 +10,14 @@ number of agreements is concentrated as sharply as for independent samples.
 Bands of ``ROWS`` coordinates give the buckets: sets with a similarity of 0.8 share one of 32
 bands of 4 with probability 1 - 5e-8. Pairs of a bucket are confirmed on the full sets.
 
-No bucket is expanded into all its pairs. Documents of equal word sequences are one class
-first. Then, round by round, pseudo-randomly chosen pivots of a bucket (1, 4, 16, ...) are
-compared with its members that are not yet known to be in the pivot's component; used pivots
-leave the bucket, and a bucket ends once its members are one component. A group of copies is
-merged by its first pivot; no pair that could still join two components is left out.
+No bucket is expanded into pair rows. Documents of equal word sequences are one class first.
+Then, turn by turn, pivots of a bucket (the class that shares most, then 8, 128, all that are
+left) are held against its members that are not yet known to be in the pivot's component;
+used pivots leave the bucket, and a bucket ends once its members are one component. A group of
+copies is merged by its first pivot. From the second turn on a pair must also pass an exact
+bound on its common shingles, taken from two bitmaps of 2048 bits inside the join, before it
+becomes a row. No pair that could still join two components is left out. What remains costly
+are many documents of one bucket of which no two are linked: each two bitmaps are compared.
 
 Defined cases: a document without words or text, or without an id, is linked with nothing and
 kept. Rows of equal id and text are one document: all kept or none. Ids need not be unique;
@@ -39,6 +42,10 @@ SHINGLE = 4
 LINK, LINK_OF = 80, 100
 BANDS, ROWS = 32, 4
 COORDINATES = BANDS * ROWS
+#: Pivots of a bucket, turn by turn; None: every member left.
+PIVOTS = (1, 8, 128, None)
+#: Of the bitmaps that bound what two sets have in common.
+BITS = 2048
 _BIN_BITS = COORDINATES.bit_length() - 1
 _VALUE_BITS = 54
 #: Words whose hashes a worker remembers at a time.
@@ -131,13 +138,14 @@ def _sketched(batch: pa.RecordBatch) -> list:
 
 
 def _with_sets(batch: pa.RecordBatch) -> list:
-    hashes, found, digests = _WordHashes(), [], []
+    hashes, found, bits = _WordHashes(), [], []
     for text in batch.column("text"):
-        words = words_of(text.as_py())
-        digests.append(hashlib.md5(b" ".join(words)).digest())
-        found.append(shingle_set(words, hashes).tobytes())
-    digest = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
-    return [digest[:, 0], digest[:, 1], found]
+        keys = shingle_set(words_of(text.as_py()), hashes)
+        flags = np.zeros(BITS, np.uint8)
+        flags[(keys & np.uint64(BITS - 1)).astype(np.int64)] = 1
+        found.append(keys.tobytes())
+        bits.append(np.packbits(flags).view(np.int64))
+    return [found, bits]
 
 
 def _confirmed(batches):
@@ -190,41 +198,61 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def _linked(docs: DataFrame, classes: DataFrame) -> DataFrame:
     """(node, root) of the classes that are linked with another."""
     every = classes.select("node", "n", F.explode("bands").alias("bucket"))
-    shared = every.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1").select("bucket")
-    members = written(every.join(shared, "bucket"), "members")
-    candidates = members.select("node").distinct().join(classes.select("node", "h1", "h2", "doc_id", "text_key"), "node")
+    shared = every.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1")
+    members = every.join(shared, "bucket")
+    central = members.groupBy("node").agg(F.sum("members").alias("weight"))
+    members = written(members.select("bucket", "node", "n").join(central, "node"), "members")
+    candidates = members.select("node").distinct().join(classes.select("node", "doc_id", "text_key"), "node")
     texts = docs.withColumn("text_key", F.xxhash64("text")).join(candidates, ["doc_id", "text_key"])
     sets = texts.select("node", "text").mapInArrow(
-        add_columns({"h1": pa.int64(), "h2": pa.int64(), "shingles": pa.binary()}, _with_sets, ["text"]),
-        "node long, h1 long, h2 long, shingles binary",
+        add_columns({"shingles": pa.binary(), "bits": pa.list_(pa.int64())}, _with_sets, ["text"]),
+        "node long, shingles binary, bits array<long>",
     )
-    sets = written(sets.select("node", "shingles").dropDuplicates(["node"]), "sets")
+    sets = written(sets.dropDuplicates(["node"]), "sets")
 
     forest = docs.sparkSession.createDataFrame([], "node long, root long")
-    turn = 0
-    while True:
-        own = members.join(forest, "node", "left").select("bucket", "node", "n", F.coalesce("root", "node").alias("root"))
+    for turn in range(len(PIVOTS)):
+        own = members.join(forest, "node", "left").select("bucket", "node", "n", "weight", F.coalesce("root", "node").alias("root"))
         if turn:
             split = own.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("bucket")
-            own = written(own.join(split, "bucket"), "members")
+            own = written(own.join(split, "bucket").join(sets.select("node", "bits"), "node"), "members")
             if own.isEmpty():
-                return forest
-        part = F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(4**turn)).alias("part")
-        pivots = (
-            own.groupBy("bucket", part).agg(F.min(F.struct("node", "n", "root")).alias("p"))
-            .select("bucket", F.col("p.node").alias("pivot"), F.col("p.n").alias("p_n"), F.col("p.root").alias("p_root"))
-        )
-        pairs = (
-            own.join(pivots, "bucket")
-            .where("node != pivot AND root != p_root")
-            .where(f"{LINK_OF} * least(n, p_n) >= {LINK} * greatest(n, p_n)")
-            .select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
-        )
-        side = lambda c: sets.select(F.col("node").alias(c), F.col("shingles").alias(f"set_{c}"))
-        links = pairs.join(side("b"), "b").join(side("a"), "a").mapInArrow(_confirmed, "a long, b long")
-        forest = star_forest(forest.toDF("a", "b").union(links))
-        members = written(
-            own.select("bucket", "node", "n").join(pivots.select("bucket", F.col("pivot").alias("node")), ["bucket", "node"], "left_anti"),
-            "members",
+                break
+        else:
+            own = own.withColumn("bits", F.lit(None).cast("array<long>"))
+        links = written(_links(own, sets, pivots := _pivots(own, turn), bool(turn)), "links")
+        if not links.isEmpty():
+            forest = star_forest(forest.toDF("a", "b").union(links))
+        used = pivots.select("bucket", F.col("pivot").alias("node"))
+        members = own.select("bucket", "node", "n", "weight").join(used, ["bucket", "node"], "left_anti")
+    return forest
+
+
+def _pivots(own: DataFrame, turn: int) -> DataFrame:
+    """The pivots of each bucket: one for each of PIVOTS[turn] parts of its members, or all."""
+    row = F.struct((-F.col("weight")).alias("w"), F.col("node").alias("pivot"), F.col("n").alias("p_n"), F.col("root").alias("p_root"), F.col("bits").alias("p_bits"))
+    if PIVOTS[turn] is None:
+        return own.select("bucket", row.alias("p")).select("bucket", "p.*").drop("w")
+    part = F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(PIVOTS[turn])).alias("part")
+    return own.groupBy("bucket", part).agg(F.min(row).alias("p")).select("bucket", "p.*").drop("w")
+
+
+def _links(own: DataFrame, sets: DataFrame, pivots: DataFrame, bounded: bool) -> DataFrame:
+    """(a, b) of the pairs of a pivot and a member of another component that are linked."""
+    possible = (
+        (F.col("node") != F.col("pivot")) & (F.col("root") != F.col("p_root"))
+        & (LINK_OF * F.least("n", "p_n") >= LINK * F.greatest("n", "p_n"))
+    )
+    if bounded:
+        only = lambda x, y: F.aggregate(
+            F.zip_with(x, y, lambda a, b: F.bit_count(a.bitwiseAND(F.bitwise_not(b)))), F.lit(0), lambda s, c: s + c
         )
-        turn += 1
+        common = F.least(F.col("n") - only("bits", "p_bits"), F.col("p_n") - only("p_bits", "bits"))
+        possible &= (LINK + LINK_OF) * common >= LINK * (F.col("n") + F.col("p_n"))
+    member, pivot = own.drop("weight"), pivots.withColumnRenamed("bucket", "p_bucket")
+    pairs = (
+        member.join(pivot, (F.col("bucket") == F.col("p_bucket")) & possible)
+        .select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
+    )
+    side = lambda c: sets.select(F.col("node").alias(c), F.col("shingles").alias(f"set_{c}"))
+    return pairs.join(side("b"), "b").join(side("a"), "a").mapInArrow(_confirmed, "a long, b long")
