@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netloom.llm import decontaminate, language_id, line_dedup, near_dedup, packing, quality_model, quality_rules, toxicity
+from netloom.llm import (
+    decontaminate, html_text, language_id, line_dedup, near_dedup, packing, quality_model, quality_rules, span_dedup, toxicity,
+)
 from netloom.llm.common import id_remainder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -152,3 +154,16 @@ def _scores(scored: DataFrame, held: F.Column) -> DataFrame:
     return scored.select(
         "doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
     )
+
+
+@query()
+def op9_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    """The main text of all pages."""
+    return html_text.main_text(table(spark, folder, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
+@query()
+def op10_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents without passages that occur earlier."""
+    cleaned = span_dedup.without_repeats(table(spark, folder, "documents"))
+    return cleaned.select("doc_id", "n_units", "n_removed", "removed", "text")
