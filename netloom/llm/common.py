@@ -38,6 +38,12 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def fields(df: DataFrame, without: Iterable[str] = ()) -> str:
+    """The schema of ``df`` but for some columns, as DDL."""
+    gone = set(without)
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name not in gone)
+
+
 def add_columns(
     columns: dict[str, pa.DataType], of_batch: Callable[[pa.RecordBatch], list], drop: Iterable[str] = ()
 ) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:

@@ -13,7 +13,7 @@ with a table in between. Documents are never shuffled for the scan.
 
 Defined cases: a null or wordless document has no words and is clean; a null or wordless item
 occurs nowhere. Repeated items count once each by ``item_id``; an item without an id marks
-words but is not counted. Extra columns are ignored.
+words but is not counted. Extra columns stay.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netloom.llm.common import add_columns, written
+from netloom.llm.common import add_columns, fields, written
 
 WINDOW = 10
 #: Of one automaton's items.
@@ -96,24 +96,24 @@ def merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 _SPAN = pa.list_(pa.list_(pa.int64()))
 _FOUND = {"n_words": pa.int64(), "hits": _SPAN, "places": _SPAN, "items": pa.list_(pa.string())}
-_SCHEMA = "doc_id long, text string, n_words long, hits array<array<long>>, places array<array<long>>, items array<string>"
+_SCHEMA = "n_words long, hits array<array<long>>, places array<array<long>>, items array<string>"
 
 
 def contamination(docs: DataFrame, items: DataFrame, max_item_chars: int = MAX_ITEM_CHARS) -> DataFrame:
-    """``docs`` (doc_id, text), ``items`` (item_id, text) -> one row per document.
+    """``docs`` (doc_id, text, ...), ``items`` (item_id, text) -> one row per document.
 
-    doc_id, text, n_words, hits (ranges of word numbers), places (the same ranges as character
+    Its columns (those of the names below are replaced), n_words, hits (ranges of word numbers), places (the same ranges as character
     offsets of the original text), items (ids as text, sorted).
     """
     items = items.select(F.col("item_id").cast("string"), "text").where("text IS NOT NULL")
     chars = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     shares = max(1, -(-chars // max_item_chars))
-    found = docs.select(F.col("doc_id").cast("long"), "text").withColumns(
-        {"n_words": F.lit(0).cast("long"), "hits": F.array().cast("array<array<long>>"), "places": F.array().cast("array<array<long>>"), "items": F.array().cast("array<string>")}
-    )
+    empty = F.array().cast("array<array<long>>")
+    found = docs.drop(*_FOUND).withColumns({"n_words": F.lit(0).cast("long"), "hits": empty, "places": empty, "items": F.array().cast("array<string>")})
+    schema = f"{fields(found, _FOUND)}, {_SCHEMA}"
     for share in range(shares):
         own = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(shares)) == share) if shares > 1 else items
-        found = found.mapInArrow(_scanner([tuple(r) for r in own.collect()], docs), _SCHEMA)
+        found = found.mapInArrow(_scanner([tuple(r) for r in own.collect()], docs), schema)
         if share + 1 < shares:
             found = written(found, "scanned")
     return found

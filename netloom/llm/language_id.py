@@ -11,7 +11,7 @@ The classifier, the inverse document frequencies included, is fitted on a bounde
 about ``PER_LANGUAGE`` documents per language, whole texts.
 
 Defined cases: a null text or one without a letter is ``und`` with score 0, also where nothing
-could be learned. Null ids are predicted, never learned from. Extra columns are ignored.
+could be learned. Null ids are predicted, never learned from. Extra columns stay.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from netloom.llm import ngrams
-from netloom.llm.common import add_columns
+from netloom.llm.common import add_columns, fields
 from netloom.llm.samples import labelled_sample
 
 PER_LANGUAGE = 800
@@ -150,8 +150,8 @@ def trained(docs: DataFrame, learn: F.Column, per_language: int = PER_LANGUAGE)
 
 
 def predicted(docs: DataFrame, model: Model | None) -> DataFrame:
-    """(doc_id, text) -> doc_id, text, lang_pred, score."""
-    docs = docs.select(F.col("doc_id").cast("long"), "text")
+    """``docs`` (doc_id, text, ...) with lang_pred and score; columns of these names are replaced."""
+    docs = docs.drop("lang_pred", "score")
     if model is None:
         return docs.withColumns({"lang_pred": F.lit("und"), "score": F.lit(0.0)})
     sent = docs.sparkSession.sparkContext.broadcast(model)  # 2^BITS weights per language, whatever the corpus
@@ -162,7 +162,7 @@ def predicted(docs: DataFrame, model: Model | None) -> DataFrame:
         return [[sent.value.languages[i] for i in best], p[np.arange(len(p)), best]]
 
     found = docs.mapInArrow(
-        add_columns({"lang_pred": pa.string(), "score": pa.float64()}, of_batch), "doc_id long, text string, lang_pred string, score double"
+        add_columns({"lang_pred": pa.string(), "score": pa.float64()}, of_batch), f"{fields(docs)}, lang_pred string, score double"
     )
     lettered = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
     return found.withColumns(

@@ -1,9 +1,10 @@
 """Removal of repeated passages: runs of consecutive sentences that occur elsewhere before.
 
 A text is cut into units: sentences, ended by ``.``, ``!``, ``?`` or a line's end. A sentence
-of fewer than ``SHORT`` words goes on with the next one of its line, one of more than ``LONG``
-is cut into pieces of ``LONG``, so that a passage of 50 words has several units whatever its
-punctuation. Every run of ``RUN`` consecutive units with at least ``MIN_WORDS`` words is hashed
+of fewer than ``SHORT`` words goes on with the next one of its line. A longer one is also cut
+after words that a hash chooses (one in ``EVERY``), and after ``LONG`` words at the latest: so
+a passage of 50 words has several units whatever its punctuation, and they are the same ones
+whatever stands around it. Every run of ``RUN`` consecutive units with at least ``MIN_WORDS`` words is hashed
 to 128 bits (case and white space aside). Hashes are counted over all documents by partial
 aggregation, which also finds the first place (smallest id, then place); all units that a run
 other than a first one covers are removed. A text keeps everything else as it was.
@@ -13,7 +14,8 @@ can be split. Texts are shuffled once, and only the numbers of lost units travel
 
 Defined cases: a null or wordless text has no units and stays as it is. A null id comes before
 all others. Rows of equal id and text are one document; a run repeated within a document
-keeps its first place there. Extra columns stay and are ignored.
+keeps its first place there. Extra columns stay; a column
+``lost`` is replaced.
 """
 
 from __future__ import annotations
@@ -26,14 +28,28 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netloom.llm.common import add_columns, written
+from netloom.llm.common import add_columns, fields, written
 
 RUN, MIN_WORDS = 3, 10
-SHORT, LONG = 4, 16
+SHORT, EVERY, LONG = 4, 8, 24
 _PIECE = re.compile(r"[^\s]+")
 _ENDS = (".", "!", "?")
 
 
+class _Cuts(dict):
+    """Whether a unit may end after a word; remembers a bounded number of words."""
+
+    def __missing__(self, word: str) -> bool:
+        if len(self) > 500_000:
+            self.clear()
+        ends = word.endswith(_ENDS) or xxhash.xxh32_intdigest(word.lower().encode("utf-8", "surrogatepass")) % EVERY == 0
+        self[word] = ends
+        return ends
+
+
+_CUTS = _Cuts()
+
+
 def units(text: str | None) -> Iterator[tuple[int, int, list[str]]]:
     """(begin, end, words) of each unit; begin and end are places in the text."""
     if not text:
@@ -45,7 +61,7 @@ def units(text: str | None) -> Iterator[tuple[int, int, list[str]]]:
             if begin is None:
                 begin = m.start()
             words.append(m[0])
-            if len(words) == LONG or len(words) >= SHORT and m[0].endswith(_ENDS):
+            if len(words) >= SHORT and (_CUTS[m[0]] or len(words) == LONG):
                 yield at + begin, at + m.end(), words
                 begin, words = None, []
         if words:
@@ -81,23 +97,20 @@ def runs(docs: DataFrame) -> DataFrame:
 
 
 def cut_out(text: str, lost: set[int]) -> str:
-    """``text`` without the units numbered in ``lost`` and the white space after each; lines left empty go too."""
-    kept, at, broken = [], 0, False
-    for i, (begin, end, _) in enumerate(units(text)):
-        if i in lost:
-            kept.append(text[at:begin])
-            at, broken = end, True
-    if not broken:
-        return text
-    kept.append(text[at:])
-    rest = "\x00".join(kept)  # marks where something was cut; NUL in the text itself is left alone below
-    lines = []
-    for line, own in zip(rest.split("\n"), text.split("\n"), strict=True):
-        if line != own:
-            line = " ".join(x.strip(" \t\r") for x in line.split("\x00")).strip(" \t\r") if "\x00" not in own else line.replace("\x00\x00", "\x00")
-            if not line:
-                continue
-        lines.append(line)
+    """``text`` without the units numbered in ``lost``; a line of which nothing is left goes too."""
+    gone = [(begin, end) for i, (begin, end, _) in enumerate(units(text)) if i in lost]
+    lines, at, nth = [], 0, 0
+    for line in text.split("\n"):
+        parts, begin = [], at
+        while nth < len(gone) and gone[nth][0] < at + len(line):
+            parts.append(text[begin : gone[nth][0]])
+            begin, nth = gone[nth][1], nth + 1
+        rest = text[begin : at + len(line)]
+        if begin == at:
+            lines.append(line)
+        elif left := [x for x in (p.strip(" \t\r") for p in [*parts, rest]) if x]:
+            lines.append(" ".join(left))
+        at += len(line) + 1
     return "\n".join(lines)
 
 
@@ -110,7 +123,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
         every.join(first, ["h1", "h2"]).where(place != F.col("first"))
         .groupBy(F.col("doc_id").alias("lost_id"), F.col("text_key").alias("lost_key")).agg(F.collect_set("place").alias("lost"))
     )
-    joined = docs.join(
+    joined = docs.drop("lost", "lost_id", "lost_key").join(
         lost, F.col("doc_id").cast("long").eqNullSafe(F.col("lost_id")) & (F.xxhash64("text") == F.col("lost_key")), "left"
     ).drop("lost_id", "lost_key")
 
@@ -129,8 +142,8 @@ def without_repeats(docs: DataFrame) -> DataFrame:
             texts.append(cut_out(text, {i for a, b in ranges for i in range(a, b)}) if ranges else text)
         return [texts, counts, [sum(b - a for a, b in r) for r in gone], gone]
 
-    others = [c for c in docs.columns if c not in ("text", "n_units", "n_removed", "removed")]
+    others = [c for c in docs.columns if c not in ("text", "n_units", "n_removed", "removed", "lost", "lost_id", "lost_key")]
     kinds = {"text": pa.string(), "n_units": pa.int64(), "n_removed": pa.int64(), "removed": pa.list_(pa.list_(pa.int64()))}
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in others]
-    schema = ", ".join([*fields, "text string, n_units long, n_removed long, removed array<array<long>>"])
-    return joined.select(*others, "text", "lost").mapInArrow(add_columns(kinds, of_batch, ["text", "lost"]), schema)
+    rows = joined.select(*others, "text", "lost")
+    schema = f"{fields(rows, ['text', 'lost'])}, text string, n_units long, n_removed long, removed array<array<long>>"
+    return rows.mapInArrow(add_columns(kinds, of_batch, ["text", "lost"]), schema)

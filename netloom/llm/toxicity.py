@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from netloom.llm import ngrams
-from netloom.llm.common import add_columns
+from netloom.llm.common import add_columns, fields
 from netloom.llm.samples import fitted_sigmoid, sampled_texts, sigmoid
 
 PER_LABEL = 900
@@ -194,9 +194,9 @@ def trained(docs: DataFrame, labels: DataFrame, learn: F.Column, per_label: int
 
 
 def scored(docs: DataFrame, model) -> DataFrame:
-    """(doc_id, text) -> doc_id, text, score, by any model with ``scores(texts)``."""
-    docs = docs.select(F.col("doc_id").cast("long"), "text")
+    """``docs`` (doc_id, text, ...) with score, by any model with ``scores(texts)``; a column of this name is replaced."""
+    docs = docs.drop("score")
     if model is None:
         return docs.withColumn("score", F.lit(0.0))
     sent = docs.sparkSession.sparkContext.broadcast(model)  # of fixed size, whatever the corpus
-    return docs.mapInArrow(add_columns({"score": pa.float64()}, lambda b: [sent.value.scores(b.column("text"))]), "doc_id long, text string, score double")
+    return docs.mapInArrow(add_columns({"score": pa.float64()}, lambda b: [sent.value.scores(b.column("text"))]), f"{fields(docs)}, score double")
