@@ -20,16 +20,17 @@ MIN_LANGUAGE_SCORE = 0.5
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects texts without a letter and those of no language's ``MIN_LANGUAGE_SCORE``."""
     held = id_remainder(F.col("doc_id"), 4) == 2
-    found = language_id.predicted(docs, language_id.trained(docs, ~held))
+    found = language_id.predicted(_carried(docs), language_id.trained(docs, ~held))
     kept = (F.col("lang_pred") != "und") & (F.col("score") >= MIN_LANGUAGE_SCORE)
-    return found.where(kept).select(docs.columns)
+    return _restored(found.where(kept), docs)
 
 
 def drop_shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes out lines that ten sites share, but where they occur first; drops texts of nothing else."""
-    cleaned = line_dedup.without_widespread_lines(docs)
+    cleaned = line_dedup.without_widespread_lines(_carried(docs, "source"))
     emptied = (F.col("n_removed") > 0) & ~F.col("text").rlike(r"[^\x20\x09-\x0D]")
-    return cleaned.where(~F.coalesce(emptied, F.lit(False))).withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+    left = _restored(cleaned.where(~F.coalesce(emptied, F.lit(False))), docs)
+    return left.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else left
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,8 +43,8 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold a window of a benchmark item."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    found = decontaminate.contamination(docs, items)
-    return found.where(F.size("hits") == 0).select(docs.columns)
+    found = decontaminate.contamination(_carried(docs), items)
+    return _restored(found.where(F.size("hits") == 0), docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,6 +52,18 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.packed(docs)
 
 
+def _carried(docs: DataFrame, *used: str) -> DataFrame:
+    """``docs`` with its columns that an operator doesn't use in one, so that no name clashes with the operator's own."""
+    own = ["doc_id", "text", *used]
+    return docs.select(*own, F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in own]).alias("_rest"))
+
+
+def _restored(found: DataFrame, docs: DataFrame) -> DataFrame:
+    top = set(found.columns) & set(docs.columns)
+    inside = set(found.schema["_rest"].dataType.names)
+    return found.select(*[F.col(f"_rest.`{c}`").alias(c) if c in inside else F.col(f"`{c}`") for c in docs.columns if c in inside | top])
+
+
 STAGES = [
     ("language_id", identify_language),
     ("line_dedup", drop_shared_lines),

@@ -13,8 +13,8 @@ to meet the numbers of the lines they lose.
 
 Defined cases: blank lines are never removed; a null text stays null, with no lines. A null
 site is no site. A null id comes before all others. Rows of equal id and text are one
-document. Extra columns stay, but for
-those of the names used here.
+document. Extra columns stay;
+n_lines and n_removed are replaced.
 """
 
 from __future__ import annotations
@@ -67,17 +67,15 @@ def without_widespread_lines(docs: DataFrame, min_sites: int = MIN_SITES) -> Dat
     place = F.struct("doc_id", "text_key", "place")
     lost = (
         keys.join(widespread(keys, min_sites), ["h1", "h2"]).where(place != F.col("first"))
-        .groupBy(F.col("doc_id").alias("lost_id"), F.col("text_key").alias("lost_key")).agg(F.collect_set("place").alias("lost"))
+        .groupBy(F.col("doc_id").alias("_lost_id"), F.col("text_key").alias("_lost_key")).agg(F.collect_set("place").alias("_lost"))
     )
-    key = F.xxhash64("text")
-    docs = docs.drop("lost", "lost_id", "lost_key", "_lines", "n_lines", "n_removed")
-    joined = docs.join(lost, F.col("doc_id").cast("long").eqNullSafe(F.col("lost_id")) & (key == F.col("lost_key")), "left")
-    lines = F.split("text", "\n")
-    places = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("lost"))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_lost_id")) & (F.xxhash64("text") == F.col("_lost_key"))
+    places = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_lost"))
     left = F.array_join(F.transform(places, lambda i: F.get(F.col("_lines"), i)), "\n")
-    return joined.withColumn("_lines", lines).select(
-        *[F.col(f"`{c}`") for c in docs.columns if c != "text"],
-        F.when(F.col("lost").isNull(), F.col("text")).otherwise(left).alias("text"),
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in ("text", "n_lines", "n_removed")]
+    return docs.join(lost, same, "left").withColumn("_lines", F.split("text", "\n")).select(
+        *others,
+        F.when(F.col("_lost").isNull(), F.col("text")).otherwise(left).alias("text"),
         F.coalesce(F.size("_lines"), F.lit(0)).cast("long").alias("n_lines"),
-        F.coalesce(F.size("lost"), F.lit(0)).cast("long").alias("n_removed"),
+        F.coalesce(F.size("_lost"), F.lit(0)).cast("long").alias("n_removed"),
     )

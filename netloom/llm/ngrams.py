@@ -25,13 +25,13 @@ def code_points(text: str) -> np.ndarray:
 def chunks(texts: pa.Array, chunk: int = CHUNK) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(codes, starts, owners): the parts' places in ``codes`` and the rows they belong to.
 
-    A part begins at its leading space. Rows without text give no part.
+    A part begins at its leading space and ends with one of its own. Rows without text give no part.
     """
     codes, starts, owners, held = [], [], [], 0
     gap = np.array([SPACE], np.uint32)
 
     def full() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        return np.concatenate([*codes, gap]), np.array(starts), np.array(owners)
+        return np.concatenate(codes), np.array(starts), np.array(owners)
 
     for row, value in enumerate(texts):
         text = value.as_py()
@@ -47,8 +47,8 @@ def chunks(texts: pa.Array, chunk: int = CHUNK) -> Iterator[tuple[np.ndarray, np
                 codes, starts, owners, held = [], [], [], 0
             starts.append(held)
             owners.append(row)
-            codes += [gap, code_points(text[at:end])]
-            held += end - at + 1
+            codes += [gap, code_points(text[at:end]), gap]
+            held += end - at + 2
             at = end
     if held:
         yield full()

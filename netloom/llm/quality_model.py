@@ -53,7 +53,7 @@ class Model:
         return sigmoid(self.slope * self.margins(texts) + self.shift)
 
 
-def _shape(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _shape(codes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The signs of the text, one per run, and the place in ``codes`` where each run begins."""
     low = ngrams.lowered(codes)
     letter, digit, gap = ngrams.letters(codes), (codes >= 48) & (codes <= 57), ngrams.blank(codes)
@@ -66,9 +66,11 @@ def _shape(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         term = np.where(gap, np.uint64(0), (low.astype(np.uint64) + np.uint64(7)) * power)
         word = np.add.reduceat(term, begins)
         again = np.concatenate([[False], word[1:] == word[:-1]])
+        again[np.minimum(np.searchsorted(begins, starts), len(begins) - 1)] = False  # the first word of a text
         number = np.searchsorted(begins, np.arange(len(codes)), "right") - 1
         sign[(number >= 0) & again[np.maximum(number, 0)] & ~gap] = _AGAIN
     new = np.concatenate([[True], sign[1:] != sign[:-1]])
+    new[starts] = True
     return sign[new], np.flatnonzero(new)
 
 
@@ -81,14 +83,14 @@ def indicators(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         flat = flags.reshape(-1)
         part = np.zeros(len(codes), np.int64)
         part[starts[1:]] = 1
-        base = row_of_part[np.cumsum(part)] * (2 << BITS)
-        for n in CHARACTERS:
-            key = ngrams.hashed(codes, n, BITS)
-            flat[base[: len(key)] + key] = 1
-        signs, places = _shape(codes)
-        for n in SHAPES:
-            key = ngrams.hashed(signs, n, BITS)
-            flat[base[places[: len(key)]] + (1 << BITS) + key] = 1
+        part = np.cumsum(part)
+        base = row_of_part[part] * (2 << BITS)
+        signs, places = _shape(codes, starts)
+        for signs_, at, sizes, shift in ((codes, np.arange(len(codes)), CHARACTERS, 0), (signs, places, SHAPES, 1 << BITS)):
+            for n in sizes:
+                key = ngrams.hashed(signs_, n, BITS)
+                own = part[at[: len(key)]] == part[at[n - 1 :][: len(key)]]  # no n-gram lies in two texts
+                flat[(base[at[: len(key)]] + shift + key)[own]] = 1
         if held is not None:
             if rows[0] == held[0]:
                 flags[0] = np.maximum(flags[0], held[1])

@@ -14,8 +14,8 @@ can be split. Texts are shuffled once, and only the numbers of lost units travel
 
 Defined cases: a null or wordless text has no units and stays as it is. A null id comes before
 all others. Rows of equal id and text are one document; a run repeated within a document
-keeps its first place there. Extra columns stay; a column
-``lost`` is replaced.
+keeps its first place there. Extra columns stay;
+n_units, n_removed and removed are replaced.
 """
 
 from __future__ import annotations
@@ -121,15 +121,15 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     first = every.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("times")).where("times > 1").drop("times")
     lost = (
         every.join(first, ["h1", "h2"]).where(place != F.col("first"))
-        .groupBy(F.col("doc_id").alias("lost_id"), F.col("text_key").alias("lost_key")).agg(F.collect_set("place").alias("lost"))
+        .groupBy(F.col("doc_id").alias("_lost_id"), F.col("text_key").alias("_lost_key")).agg(F.collect_set("place").alias("_lost"))
     )
-    joined = docs.drop("lost", "lost_id", "lost_key").join(
-        lost, F.col("doc_id").cast("long").eqNullSafe(F.col("lost_id")) & (F.xxhash64("text") == F.col("lost_key")), "left"
-    ).drop("lost_id", "lost_key")
+    joined = docs.join(
+        lost, F.col("doc_id").cast("long").eqNullSafe(F.col("_lost_id")) & (F.xxhash64("text") == F.col("_lost_key")), "left"
+    ).drop("_lost_id", "_lost_key")
 
     def of_batch(batch: pa.RecordBatch) -> list:
         texts, counts, gone = [], [], []
-        for text, starts in zip(batch.column("text"), batch.column("lost"), strict=True):
+        for text, starts in zip(batch.column("text"), batch.column("_lost"), strict=True):
             text, starts = text.as_py(), sorted(starts.as_py() or [])
             ranges: list[list[int]] = []
             for s in starts:
@@ -142,8 +142,8 @@ def without_repeats(docs: DataFrame) -> DataFrame:
             texts.append(cut_out(text, {i for a, b in ranges for i in range(a, b)}) if ranges else text)
         return [texts, counts, [sum(b - a for a, b in r) for r in gone], gone]
 
-    others = [c for c in docs.columns if c not in ("text", "n_units", "n_removed", "removed", "lost", "lost_id", "lost_key")]
+    others = [c for c in docs.columns if c not in ("text", "n_units", "n_removed", "removed")]
     kinds = {"text": pa.string(), "n_units": pa.int64(), "n_removed": pa.int64(), "removed": pa.list_(pa.list_(pa.int64()))}
-    rows = joined.select(*others, "text", "lost")
-    schema = f"{fields(rows, ['text', 'lost'])}, text string, n_units long, n_removed long, removed array<array<long>>"
-    return rows.mapInArrow(add_columns(kinds, of_batch, ["text", "lost"]), schema)
+    rows = joined.select(*others, "text", "_lost")
+    schema = f"{fields(rows, ['text', '_lost'])}, text string, n_units long, n_removed long, removed array<array<long>>"
+    return rows.mapInArrow(add_columns(kinds, of_batch, ["text", "_lost"]), schema)
