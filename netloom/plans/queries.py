@@ -91,6 +91,15 @@ def f2_dns_answers_kept(spark, folder):
     return kept.select("uid", "query", F.coalesce(F.array_join("answers", ","), F.lit("-")).alias("answers"))
 
 
+@query(
+    f"SELECT uid, resp_h FROM {sql(v.CONN)} c WHERE coalesce(NOT regexp_matches(orig_h, '^8\\.1?[0-9]\\.'), true)"
+    " AND coalesce(NOT regexp_matches(resp_h, '^8\\.1?[0-9]\\.'), true)"
+)
+def f1_five_thousand_subnets(spark, folder):
+    nets = [f"8.{i // 256}.{i % 256}.0/24" for i in range(20 * 256)]
+    return subnet.exclude_subnets(v.conn(spark, folder), nets).select("uid", "resp_h")
+
+
 def _three_logs(spark, folder):
     return {"conn": v.conn(spark, folder), "dns": v.dns(spark, folder), "dhcp": v.dhcp(spark, folder)}
 
@@ -206,7 +215,7 @@ def _number(col: str) -> str:
     " AND resp_h NOT IN (SELECT a FROM inside)"
 )
 def j2_subnet_table_anti_join(spark, folder):
-    kept = subnet.exclude_by_table(v.conn(spark, folder), v.view(spark, folder, _CIDR_TABLE), "cidr")
+    kept = subnet.exclude_by_table(v.conn(spark, folder), v.view(spark, folder, _CIDR_TABLE), "cidr", strict=False)
     return kept.select("uid", "orig_h", "resp_h")
 
 
@@ -214,27 +223,46 @@ def j2_subnet_table_anti_join(spark, folder):
 
 
 def _draw_sql(log: str) -> str:
-    return f"(CAST(concat('0x', substr(md5(concat('{log}:', uid)), 1, 8)) AS BIGINT) % 10000)"
+    cells = ["uid", "ts_text", "orig_h", "orig_p", "resp_h", "resp_p", *(["query"] if log == "dns" else [])]
+    record = ", '|', ".join(f"coalesce(CAST({c} AS VARCHAR), '-')" for c in cells)
+    return f"(CAST(concat('0x', substr(md5(concat('{log}:', {record})), 1, 8)) AS BIGINT) % 10000)"
+
+
+def _timed(view: str) -> str:
+    return f"(SELECT *, epoch_us(ts) AS ts_text FROM {sql(view)} t) t"
+
+
+# Every third record lacks its uid, every other third shares one with many.
+_HOLES = "CASE orig_p % 3 WHEN 0 THEN NULL WHEN 1 THEN concat('shared', orig_p % 5) ELSE uid END"
+_CONN_HOLES = f"(SELECT * REPLACE ({_HOLES} AS uid), CAST(CAST(ts AS DATE) AS VARCHAR) AS ts_text FROM {sql(v.CONN)} c) c"
+_DNS_HOLES = f"(SELECT * REPLACE ({_HOLES} AS uid), epoch_us(ts) AS ts_text FROM {sql(v.DNS)} d) d"
+
+
+def _with_holes(df: DataFrame) -> DataFrame:
+    df = df.withColumn("uid", F.expr(_HOLES))
+    return df.withColumn("ts", F.col("ts").cast("date")) if "query" not in df.columns else df
 
 
-@query(f"SELECT uid, proto FROM {sql(v.CONN)} c WHERE {_draw_sql('conn')} < 1250")
+@query(f"SELECT coalesce(uid, '-') AS uid, orig_h, proto FROM {_CONN_HOLES} WHERE {_draw_sql('conn')} < 1250")
 def f9_conn_sample(spark, folder):
-    return sampling.sample_log(v.conn(spark, folder), "conn", 12.5).select("uid", "proto")
+    kept = sampling.sample_log(_with_holes(v.conn(spark, folder)), "conn", 12.5)
+    return kept.select(F.coalesce("uid", F.lit("-")).alias("uid"), "orig_h", "proto")
 
 
-@query(f"SELECT uid, query FROM {sql(v.DNS)} d WHERE {_draw_sql('dns')} < 3330")
+@query(f"SELECT coalesce(uid, '-') AS uid, query FROM {_DNS_HOLES} WHERE {_draw_sql('dns')} < 3330")
 def f10_dns_sample(spark, folder):
-    return sampling.sample_log(v.dns(spark, folder), "dns", 33.33).select("uid", "query")
+    kept = sampling.sample_log(_with_holes(v.dns(spark, folder)), "dns", 33.33)
+    return kept.select(F.coalesce("uid", F.lit("-")).alias("uid"), "query")
 
 
 @query(
+    "SELECT log, total, sampled, round(sampled * 100.0 / total, 1) AS pct FROM ("
     f"SELECT 'conn' AS log, count(*) AS total, count(*) FILTER (WHERE {_draw_sql('conn')} < 2500) AS sampled"
-    f" FROM {sql(v.CONN)} c UNION ALL SELECT 'dns', count(*), count(*) FILTER (WHERE {_draw_sql('dns')} < 2500)"
-    f" FROM {sql(v.DNS)} d"
+    f" FROM {_CONN_HOLES} UNION ALL SELECT 'dns', count(*), count(*) FILTER (WHERE {_draw_sql('dns')} < 2500)"
+    f" FROM {_DNS_HOLES}) x"
 )
 def a2_sampling_report(spark, folder):
-    logs = {"conn": v.conn(spark, folder), "dns": v.dns(spark, folder)}
-    return sampling.sampling_report(logs, 25).select("log", "total", "sampled")
+    return sampling.sampling_report({"conn": _with_holes(v.conn(spark, folder)), "dns": _with_holes(v.dns(spark, folder))}, 25)
 
 
 # --- DHCP --------------------------------------------------------------------
@@ -804,8 +832,8 @@ def a7_run_summary(spark, folder):
 
 
 @query(
-    f"SELECT 'conn' AS log, uid AS id, '-' AS params FROM {sql(v.CONN)} c WHERE {_draw_sql('conn')} < 5000 AND NOT {_CONN_HIT}"
-    f" UNION ALL SELECT 'dns', uid, '-' FROM {sql(v.DNS)} d WHERE {_draw_sql('dns')} < 5000 AND NOT {_DNS_HIT}"
+    f"SELECT 'conn' AS log, uid AS id, '-' AS params FROM {_timed(v.CONN)} WHERE {_draw_sql('conn')} < 5000 AND NOT {_CONN_HIT}"
+    f" UNION ALL SELECT 'dns', uid, '-' FROM {_timed(v.DNS)} WHERE {_draw_sql('dns')} < 5000 AND NOT {_DNS_HIT}"
     f" UNION ALL SELECT 'dhcp', h.mac, coalesce(h.param_req_list, f.fingerprint, '-') FROM {sql(v.DHCP)} h"
     f" LEFT JOIN ({_FINGERPRINTS}) f ON h.run_id = f.run_id AND h.mac = f.mac WHERE NOT {_DHCP_HIT}"
 )

@@ -37,9 +37,9 @@ SELECT substr(CAST(ts AS STRING), 1, 7) AS run_id, ts, concat('D', event_id) AS
   CASE event_id % 2 WHEN 0 THEN 'A' ELSE 'AAAA' END AS qtype_name,
   CASE WHEN event_id % 7 = 0 THEN NULL
     WHEN event_id % 7 = 1 THEN concat('fd00::', user_id % 10000)
-    WHEN event_id % 7 = 2 THEN concat('cname', user_id, '.example.com,10.50.', user_id % 256, '.5')
-    WHEN event_id % 7 = 3 THEN concat('cname', user_id, '.example.com')
-    ELSE concat('cname', user_id, '.example.com,93.184.', user_id % 256, '.34') END AS answers
+    WHEN event_id % 7 = 2 THEN concat('alias', user_id, '.invalid,10.77.', user_id % 256, '.6')
+    WHEN event_id % 7 = 3 THEN concat('alias', user_id, '.invalid')
+    ELSE concat('alias', user_id, '.invalid,198.51.', user_id % 256, '.81') END AS answers
 FROM {events}
 """
 
@@ -55,7 +55,7 @@ SELECT concat('R', c_custkey % 4) AS run_id, c_custkey AS row_no, {_MAC} AS mac,
   CASE c_custkey % 11 WHEN 0 THEN '10.9.9.9' ELSE NULL END AS requested_addr,
   concat(CASE c_custkey % 5 WHEN 0 THEN '10' ELSE '11' END, '.0.', c_custkey % 256, '.50') AS assigned_addr,
   c_name AS host_name,
-  CASE c_custkey % 5 WHEN 2 THEN '1,2,3' ELSE NULL END AS param_req_list
+  CASE c_custkey % 5 WHEN 2 THEN '61,55' ELSE NULL END AS param_req_list
 FROM (SELECT c_custkey, c_name, md5(c_name) AS h FROM {{customer}}) c
 """
 
@@ -63,10 +63,10 @@ FROM (SELECT c_custkey, c_name, md5(c_name) AS h FROM {{customer}}) c
 DHCP_MESSAGES = f"""
 SELECT concat('R', o_custkey % 4) AS run_id, o_orderkey AS packet_no,
   CAST(CASE o_orderstatus WHEN 'P' THEN 2 ELSE 1 END AS INT) AS op, h AS client_hash, {_MAC} AS mac,
-  CASE o_orderpriority WHEN '1-URGENT' THEN '0103060F77FC' WHEN '2-HIGH' THEN '0103060F1C2B'
-    WHEN '3-MEDIUM' THEN '01792103060F' WHEN '4-NOT SPECIFIED' THEN '011C02' ELSE '' END AS params,
-  CASE o_orderpriority WHEN '1-URGENT' THEN '1,3,6,15,119,252' WHEN '2-HIGH' THEN '1,3,6,15,28,43'
-    WHEN '3-MEDIUM' THEN '1,121,33,3,6,15' WHEN '4-NOT SPECIFIED' THEN '1,28,2' ELSE '' END AS params_text
+  CASE o_orderpriority WHEN '1-URGENT' THEN '2A0C330679' WHEN '2-HIGH' THEN '2A0C1A03'
+    WHEN '3-MEDIUM' THEN '7842060C' WHEN '4-NOT SPECIFIED' THEN '0C' ELSE '' END AS params,
+  CASE o_orderpriority WHEN '1-URGENT' THEN '42,12,51,6,121' WHEN '2-HIGH' THEN '42,12,26,3'
+    WHEN '3-MEDIUM' THEN '120,66,6,12' WHEN '4-NOT SPECIFIED' THEN '12' ELSE '' END AS params_text
 FROM (SELECT *, md5(concat('Customer#', lpad(CAST(o_custkey AS STRING), 9, '0'))) AS h FROM {{orders}}) o
 """
 
