@@ -14,7 +14,7 @@ from netloom.llm import decontaminate, language_id, line_dedup, near_dedup, pack
 from netloom.llm.common import id_remainder, written
 
 #: A document goes if no language has this probability.
-MIN_LANGUAGE_SCORE = 0.5
+MIN_LANGUAGE_SCORE = 0.4
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -30,11 +30,11 @@ from netloom.llm.samples import labelled_sample
 PER_LANGUAGE = 800
 BITS = 16
 SIZES = (1, 2, 3)
-EPOCHS = 3
+EPOCHS = 4
 #: Learning rate, its smoothing, and the two penalties.
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.02, 0.05
 #: Shares are small numbers; the margins are in this unit.
-SCALE = 100.0
+SCALE = 20.0
 
 
 @dataclass
