@@ -7,6 +7,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from netloom.plans.queries import QUERIES
 from netloom.plans.views import TABLES
 
 FOLDER = "/root/testdata/sf0.001"
@@ -27,7 +28,7 @@ def plain(value):
     return repr(round(value, 6)) if isinstance(value, float) else repr(value)
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, duck, name):
     frame = entry.queries()[name](spark, FOLDER)
     columns = sorted(frame.columns)
