@@ -166,4 +166,4 @@ def op9_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
 def op10_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """All documents without passages that occur earlier."""
     cleaned = span_dedup.without_repeats(table(spark, folder, "documents"))
-    return cleaned.select("doc_id", "n_units", "n_removed", "removed", "text")
+    return cleaned.select("doc_id", "n_units", "n_removed", (F.col("n_removed") > 0).alias("repeated"), "removed", "text")
