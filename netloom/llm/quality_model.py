@@ -31,7 +31,7 @@ PER_LABEL = 1200
 BITS = 15
 CHARACTERS, SHAPES = (1, 2, 3), (1, 2, 3, 4, 5, 6)
 #: Added to every count of a feature; bound of the dual variables; passes over the sample.
-SMOOTHING, COST, PASSES = 1.0, 0.1, 20
+SMOOTHING, COST, PASSES = 1.0, 10.0, 20
 #: Signs of the shape (fixed values, outside the text's own characters).
 _UPPER, _LOWER, _DIGIT, _AGAIN = (np.uint32(0x110000 + i) for i in range(4))
 
@@ -127,7 +127,7 @@ def fit(texts: list[str], labels: np.ndarray, seed: int = 5) -> Model:
         for i in rng.permutation(learned):
             own = features[i]
             gradient = sign[i] * (w[own] @ valued[i] + bias) - 1
-            new = min(max(dual[i] - gradient / norm[i], 0.0), bound[labels[i]] * 100)
+            new = min(max(dual[i] - gradient / norm[i], 0.0), bound[labels[i]])
             step = (new - dual[i]) * sign[i]
             if step:
                 w[own] += step * valued[i]
