@@ -1,9 +1,10 @@
 """Removal of lines that many sites share, by distinct-site spread.
 
 A line's key is its trimmed text, hashed to 128 bits. Lines that occur less often than
-``MIN_SITES`` cannot be on as many sites and are dropped from the count at once. For the others
-a HyperLogLog sketch of the sites is built per key; sketches of partial aggregates merge, so a
-line that stands in a third of all documents is no hot group. A key whose estimate lies within
+``MIN_SITES`` cannot be on as many sites and are dropped from the count at once. The others
+are combined per key and site before they meet, and a HyperLogLog sketch of the sites is built
+per key; sketches of partial aggregates merge, so a line that stands in a third of all
+documents is no hot group. A key whose estimate lies within
 the sketch's error of the threshold gets an exact distinct count instead. A line on at least
 ``MIN_SITES`` sites is kept where it occurs first (smallest document id, then place), so that
 no content leaves the corpus, and removed everywhere else.
@@ -43,18 +44,18 @@ def line_keys(docs: DataFrame) -> DataFrame:
 def widespread(keys: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     """h1, h2 and the first place (doc_id, text_key, place) of the lines on ``min_sites`` sites or more."""
     often = keys.groupBy("h1", "h2").count().where(F.col("count") >= min_sites).select("h1", "h2")
-    candidates = keys.join(often, ["h1", "h2"], "left_semi")
+    by_site = keys.groupBy("h1", "h2", "site").agg(F.min(F.struct("doc_id", "text_key", "place")).alias("first"))
+    candidates = written(by_site.join(often, ["h1", "h2"], "left_semi"), "line-sites")
     spread = written(
         candidates.groupBy("h1", "h2").agg(
-            F.hll_sketch_estimate(F.hll_sketch_agg("site", LG_K)).alias("sites"),
-            F.min(F.struct("doc_id", "text_key", "place")).alias("first"),
+            F.hll_sketch_estimate(F.hll_sketch_agg("site", LG_K)).alias("sites"), F.min("first").alias("first")
         ),
         "spread",
     )
     margin = ERRORS * 1.04 / 2 ** (LG_K / 2) * min_sites
     near = spread.where(F.abs(F.col("sites") - min_sites) <= max(1.0, margin))
     exact = (
-        keys.join(near.select("h1", "h2"), ["h1", "h2"], "left_semi")
+        candidates.join(near.select("h1", "h2"), ["h1", "h2"], "left_semi")
         .groupBy("h1", "h2").agg(F.count_distinct("site").alias("exact"))
     )
     counted = spread.join(exact, ["h1", "h2"], "left")
