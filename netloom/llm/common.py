@@ -53,7 +53,7 @@ def add_columns(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             kept = [n for n in batch.schema.names if n not in dropped]
-            new = [pa.array(v, kind) for v, kind in zip(of_batch(batch), columns.values(), strict=True)]
+            new = [v if isinstance(v, pa.Array) else pa.array(v, kind) for v, kind in zip(of_batch(batch), columns.values(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(n) for n in kept] + new, [*kept, *columns])
 
     return run

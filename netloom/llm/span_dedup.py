@@ -1,16 +1,25 @@
 """Removal of repeated passages: runs of consecutive sentences that occur elsewhere before.
 
-A text is cut into units: sentences, ended by ``.``, ``!``, ``?`` or a line's end. A sentence
-of fewer than ``SHORT`` words goes on with the next one of its line. A longer one is also cut
-after words that a hash chooses (one in ``EVERY``), and after ``LONG`` words at the latest: so
-a passage of 50 words has several units whatever its punctuation, and they are the same ones
-whatever stands around it. Every run of ``RUN`` consecutive units with at least ``MIN_WORDS`` words is hashed
-to 128 bits (case and white space aside). Hashes are counted over all documents by partial
-aggregation, which also finds the first place (smallest id, then place); all units that a run
-other than a first one covers are removed. A text keeps everything else as it was.
+A text is a sequence of words; in scripts without spaces every character is one, and two of
+them count as a word of length. It is cut into units after sentences (``.``, ``!``, ``?`` and
+their like, or a line's end) that do not end within ``SHORT`` words of another one; and of
+``WINDOW`` consecutive words without such an end, after the one with the smallest hash. So
+whether a text is cut after a word depends on the ``WINDOW`` words around it only, and
+``WINDOW`` words never lack a cut. From each unit on, the shortest run of at least ``RUN``
+units and ``MIN_WORDS`` words is hashed to 128 bits (case and white space aside).
+
+Any 50 words hold a whole run, wherever they stand: cuts are the same ones in both texts from
+word WINDOW + 2 to word 50 - WINDOW - 1, the first of them comes within WINDOW words, and the
+run ends within RUN * WINDOW (MIN_WORDS - 1 + WINDOW is less): 2 * 8 + 1 + 24 = 41 = 50 - 8 - 1.
+
+Hashes are counted over all documents by partial aggregation, which also finds the first place
+(smallest id, then place); all units that a run other than a first one covers are removed. A
+text keeps everything else as it was.
 
 A span that a third of all documents share is one pre-aggregated key; the join that follows
-can be split. Texts are shuffled once, and only the numbers of lost units travel to them.
+can be split. Runs that occur once are mostly left out of both: a bitmap of fixed size, made
+from counts of half the hash, knows them; what it lets pass too often is counted exactly.
+Texts are shuffled once, and only the numbers of lost units travel to them.
 
 Defined cases: a null or wordless text has no units and stays as it is. A null id comes before
 all others. Rows of equal id and text are one document; a run repeated within a document
@@ -23,6 +32,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -31,54 +41,113 @@ from pyspark.sql import functions as F
 from netloom.llm.common import add_columns, fields, written
 
 RUN, MIN_WORDS = 3, 10
-SHORT, EVERY, LONG = 4, 8, 24
-_PIECE = re.compile(r"[^\s]+")
-_ENDS = (".", "!", "?")
+SHORT, WINDOW = 4, 8
+#: Bits of the map of repeated runs (8 MB).
+BITS = 1 << 26
+#: Characters of scripts without spaces, and the marks that belong to the one before (fixed values).
+_ALONE = (
+    "\u0e01-\u0e30\u0e32\u0e33\u0e40-\u0e46\u0e4f-\u0e5b\u0e81-\u0eb0\u0eb2\u0eb3\u0ebd-\u0ec6\u0ed0-\u0edf\u1000-\u102a\u103f-\u109f\u1780-\u17b3\u17d4-\u17ff"
+    "\u3001-\u3098\u309b-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff00-\uffef\U00020000-\U0003ffff"
+)
+_MARKS = "\u0e31\u0e34-\u0e3a\u0e47-\u0e4e\u0eb1\u0eb4-\u0ebc\u0ec8-\u0ecd\u102b-\u103e\u17b4-\u17d3\u3099\u309a"
+_PIECE = re.compile(f"[{_ALONE}][{_MARKS}]*|[^\\s{_ALONE}]+")
+_UNSPACED = re.compile(f"[{_ALONE}]")
+_ENDS = (".", "!", "?", "\u3002", "\uff01", "\uff1f", "\uff0e", "\uff61", "\u104b", "\u17d4")
 
 
-class _Cuts(dict):
-    """Whether a unit may end after a word; remembers a bounded number of words."""
+_MARKED = 1 << 40
 
-    def __missing__(self, word: str) -> bool:
-        if len(self) > 500_000:
+
+class _Keys(dict):
+    """Odd hashes of words, with ``_MARKED`` if a sentence ends; remembers a bounded number of them."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > 200_000:
             self.clear()
-        ends = word.endswith(_ENDS) or xxhash.xxh32_intdigest(word.lower().encode("utf-8", "surrogatepass")) % EVERY == 0
-        self[word] = ends
-        return ends
+        key = xxhash.xxh32_intdigest(word.encode("utf-8", "surrogatepass")) | 1 | _MARKED * word.endswith(_ENDS)
+        self[word] = key
+        return key
+
+
+_KEYS = _Keys()
+
+
+def _lines(text: str) -> list[list[str]]:
+    """The words of every line, in small letters."""
+    split = _PIECE.findall if _UNSPACED.search(text) else str.split
+    return [split(line) for line in text.lower().split("\n")]
 
 
-_CUTS = _Cuts()
+def _cuts(lines: list[list[str]]) -> tuple[list[str], list[int]]:
+    """All words, and how many of them come before each unit's end."""
+    words = [w for line in lines for w in line]
+    n = len(words)
+    if not n:
+        return words, []
+    keys = np.fromiter(map(_KEYS.__getitem__, words), np.int64, n)
+    marked = keys >= _MARKED
+    marked[np.cumsum([len(line) for line in lines if line]) - 1] = True
+    ends = np.flatnonzero(marked)
+    ends = ends[np.diff(ends, prepend=-1) >= SHORT]
+    chosen = np.zeros(n, bool)
+    chosen[ends] = chosen[-1] = True
+    if n >= WINDOW:
+        keys &= _MARKED - 1
+        keys[ends] = 0
+        least = np.lib.stride_tricks.sliding_window_view(keys[::-1], WINDOW).argmin(axis=1)  # from the right
+        chosen[n - 1 - np.arange(len(least)) - least] = True
+    return words, (np.flatnonzero(chosen) + 1).tolist()
 
 
 def units(text: str | None) -> Iterator[tuple[int, int, list[str]]]:
     """(begin, end, words) of each unit; begin and end are places in the text."""
     if not text:
         return
-    at = 0
-    for line in text.split("\n"):
-        begin, words = None, []
-        for m in _PIECE.finditer(line):
-            if begin is None:
-                begin = m.start()
-            words.append(m[0])
-            if len(words) >= SHORT and (_CUTS[m[0]] or len(words) == LONG):
-                yield at + begin, at + m.end(), words
-                begin, words = None, []
-        if words:
-            yield at + begin, at + len(line.rstrip()), words
-        at += len(line) + 1
+    places = [m for m in _PIECE.finditer(text)]
+    begin = 0
+    for cut in _cuts(_lines(text))[1]:
+        own = places[begin:cut]
+        yield own[0].start(), own[-1].end(), [m[0] for m in own]
+        begin = cut
+
+
+def _runs(text: str | None) -> tuple[list[int], bytes]:
+    """First units of the runs, and their digests of 16 bytes."""
+    places, digests = [], []
+    words, cuts = _cuts(_lines(text)) if text else ([], [])
+    if len(cuts) < RUN:
+        return places, b""
+    found = [" ".join(words[a:b]).encode("utf-8", "surrogatepass") for a, b in zip([0, *cuts], cuts, strict=False)]
+    whole = b"\n".join(found)
+    at = [0]
+    for unit in found:
+        at.append(at[-1] + len(unit) + 1)
+    sizes = [0, *(2 * c for c in cuts)]  # in half words
+    if _UNSPACED.search(text):
+        alone = np.cumsum([bool(_UNSPACED.match(w)) for w in words])
+        sizes = [0, *(2 * c - int(alone[c - 1]) for c in cuts)]
+    end, n, least = 0, len(cuts), 2 * MIN_WORDS
+    for i in range(n - RUN + 1):
+        end = max(end, i + RUN)
+        while end <= n and sizes[end] - sizes[i] < least:
+            end += 1
+        if end > n:
+            break
+        run = whole[at[i] : at[end] - 1]
+        places.append(i)
+        digests.append(xxhash.xxh3_128_digest(run))
+        if end > i + RUN:
+            for place in [*range(i + RUN, end - RUN, RUN), end - RUN]:
+                places.append(place)
+                digests.append(xxhash.xxh3_128_digest(b"%s\n\n%d" % (run, place - i)))
+    return places, b"".join(digests)
 
 
 def run_hashes(text: str | None) -> list[tuple[int, int, int]]:
-    """(first unit, h1, h2) of every run."""
-    found = [(len(words), " ".join(words).lower().encode("utf-8", "surrogatepass")) for _, _, words in units(text)]
-    out = []
-    for i in range(len(found) - RUN + 1):
-        part = found[i : i + RUN]
-        if sum(n for n, _ in part) >= MIN_WORDS:
-            digest = xxhash.xxh3_128_digest(b"\n".join(t for _, t in part))
-            out.append((i, int.from_bytes(digest[:8], "big", signed=True), int.from_bytes(digest[8:], "big", signed=True)))
-    return out
+    """(first unit, h1, h2) of every run; one of more than ``RUN`` units is given in parts of ``RUN`` that cover it."""
+    places, digests = _runs(text)
+    h = np.frombuffer(digests, ">i8").tolist()
+    return list(zip(places, h[::2], h[1::2], strict=True))
 
 
 def runs(docs: DataFrame) -> DataFrame:
@@ -86,8 +155,11 @@ def runs(docs: DataFrame) -> DataFrame:
     kinds = {"place": pa.list_(pa.int32()), "h1": pa.list_(pa.int64()), "h2": pa.list_(pa.int64())}
 
     def of_batch(batch: pa.RecordBatch) -> list:
-        found = [run_hashes(t.as_py()) for t in batch.column("text")]
-        return [[[r[k] for r in own] for own in found] for k in range(3)]
+        found = [_runs(t.as_py()) for t in batch.column("text")]
+        offsets = pa.array(np.cumsum([0, *(len(places) for places, _ in found)]), pa.int32())
+        place = np.array([p for places, _ in found for p in places], np.int32)
+        h = np.frombuffer(b"".join(d for _, d in found), ">i8").astype(np.int64)
+        return [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (place, h[::2], h[1::2])]
 
     keyed = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_key"), "text").where("text IS NOT NULL")
     listed = keyed.mapInArrow(
@@ -101,22 +173,44 @@ def cut_out(text: str, lost: set[int]) -> str:
     gone = [(begin, end) for i, (begin, end, _) in enumerate(units(text)) if i in lost]
     lines, at, nth = [], 0, 0
     for line in text.split("\n"):
-        parts, begin = [], at
-        while nth < len(gone) and gone[nth][0] < at + len(line):
-            parts.append(text[begin : gone[nth][0]])
-            begin, nth = gone[nth][1], nth + 1
-        rest = text[begin : at + len(line)]
-        if begin == at:
+        parts, begin, end = [], at, at + len(line)
+        touched = False
+        while nth < len(gone) and gone[nth][0] < max(end, at + 1):
+            touched = True
+            parts.append(text[begin : max(begin, gone[nth][0])])
+            begin = min(gone[nth][1], end)
+            if gone[nth][1] > end:  # it goes on in the next line
+                break
+            nth += 1
+        rest = text[begin:end]
+        if not touched:
             lines.append(line)
         elif left := [x for x in (p.strip(" \t\r") for p in [*parts, rest]) if x]:
             lines.append(" ".join(left))
-        at += len(line) + 1
+        at = end + 1
     return "\n".join(lines)
 
 
+def maybe_repeated(every: DataFrame) -> DataFrame:
+    """The rows of ``every`` but for most whose h1 occurs once; a repeated one is never left out."""
+    place = F.pmod("h1", F.lit(BITS))
+    repeated = every.groupBy("h1").count().where("count > 1").select((place / 8).cast("int").alias("byte"), F.expr("shiftleft(1, int(h1 & 7))").alias("bit"))
+    told = repeated.groupBy("byte").agg(F.bit_or("bit").cast("short").alias("bits")).toArrow()  # BITS / 8 rows at most
+    bitmap = np.zeros(BITS // 8, np.uint8)
+    bitmap[told.column("byte").to_numpy()] = told.column("bits").to_numpy().astype(np.uint8)
+    sent = every.sparkSession.sparkContext.broadcast(bitmap)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            h = batch.column("h1").to_numpy() & (BITS - 1)
+            yield batch.filter(pa.array((sent.value[h >> 3] >> (h & 7).astype(np.uint8)) & 1 == 1))
+
+    return every.mapInArrow(run, every.schema)
+
+
 def without_repeats(docs: DataFrame) -> DataFrame:
     """``docs`` (doc_id, text, ...) with cleaned text, n_units, n_removed and removed (ranges of units); other columns stay."""
-    every = written(runs(docs), "runs")
+    every = maybe_repeated(written(runs(docs), "runs"))
     place = F.struct("doc_id", "text_key", "place")
     first = every.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("times")).where("times > 1").drop("times")
     lost = (
@@ -137,7 +231,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
                     ranges[-1][1] = s + RUN
                 else:
                     ranges.append([s, s + RUN])
-            counts.append(sum(1 for _ in units(text)))
+            counts.append(len(_cuts(_lines(text))[1]) if text else 0)
             gone.append(ranges)
             texts.append(cut_out(text, {i for a, b in ranges for i in range(a, b)}) if ranges else text)
         return [texts, counts, [sum(b - a for a, b in r) for r in gone], gone]

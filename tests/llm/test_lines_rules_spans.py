@@ -154,3 +154,40 @@ def test_cutting_leaves_the_rest_alone():
     assert cut_out(text, set()) == text
     assert cut_out(text, {1}).startswith("A b c d. I j k l.\n  M n\x00o p.")
     assert cut_out("A b c d.\nE f g h.", {0}) == "E f g h."
+
+
+def shaped(rng, n, shape):
+    """``n`` invented words; as prose, without marks, as a list of three words a line, or characters without spaces."""
+    if shape == "unspaced":
+        return "".join(rng.choice("。" if rng.random() < 0.05 else [chr(rng.randint(0x4E00, 0x9FFF))]) for _ in range(2 * n))
+    own = ["".join(rng.choice("abcdefghijkl") for _ in range(rng.randint(2, 7))) for _ in range(n)]
+    if shape == "list":
+        return "\n".join(" ".join(own[i : i + 3]) for i in range(0, n, 3))
+    return " ".join(w + "." if shape == "prose" and rng.random() < 0.1 else w for w in own)
+
+
+@pytest.mark.parametrize("shape", ["prose", "unmarked", "list", "unspaced"])
+def test_fifty_words_always_hold_a_run(shape):
+    for seed in range(400):
+        rng = random.Random(seed)
+        passage = shaped(rng, 51, shape)
+        sep = {"list": "\n", "unspaced": ""}.get(shape, " ")
+        a, b = (sep.join([shaped(rng, rng.randint(1, 40), shape), passage, shaped(rng, rng.randint(1, 40), shape)]) for _ in range(2))
+        assert {r[1:] for r in run_hashes(a)} & {r[1:] for r in run_hashes(b)}, seed
+
+
+def test_lists_and_unspaced_passages_are_removed(spark):
+    for shape, sep in (("list", "\n"), ("unspaced", "")):
+        rng = random.Random(4)
+        passage = shaped(rng, 54, shape)
+        rows = [(i, sep.join([shaped(rng, 30, shape), passage, shaped(rng, 30, shape)])) for i in range(3)]
+        rows.append((3, shaped(rng, 90, shape)))
+        got = {r.doc_id: r for r in without_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+        assert got[0].text == rows[0][1] and got[3].text == rows[3][1]
+        assert all(len(rows[i][1]) - len(got[i].text) > len(passage) // 3 for i in (1, 2))
+
+
+def test_units_may_cross_lines():
+    text = "a b\n\nc d\ne f"
+    (begin, end, _), = units(text)
+    assert (begin, end) == (0, len(text)) and cut_out(text, {0}) == "" and cut_out(text + "\nx y z. u v w x.", {0}).endswith("u v w x.")
