@@ -40,7 +40,9 @@ OUTSIDE = 1.0
 PRIOR = 50.0
 
 # Element names of HTML.
-RAW = {"script", "style", "noscript", "template", "textarea", "iframe", "svg", "math", "object", "canvas", "video", "audio"}
+#: Elements of text only, ended by nothing but their own end tag; and elements that are left out with all tags in them.
+RAW = {"script", "style", "textarea", "iframe", "xmp", "noembed", "noframes"}
+LEFT_OUT = {"noscript", "template", "svg", "video", "audio"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 BLOCKS = {
     "address", "article", "aside", "blockquote", "body", "caption", "center", "dd", "details", "dialog", "div", "dl", "dt", "fieldset",
@@ -60,24 +62,31 @@ _NAMED = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([
 _BLANK = re.compile(r"\s+")
 
 
+_RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*(?:>|\Z)", re.IGNORECASE) for name in RAW}
+
+
 def tokens(page: str) -> Iterator[tuple[str, str, str]]:
-    """("open" | "close" | "text", tag name, attributes or text); raw elements and comments are left out."""
-    at, skip = 0, ""
-    for m in _TOKEN.finditer(page):
+    """("open" | "close" | "text", tag name, attributes or text); raw and left-out elements and comments are not given."""
+    at, skip, depth = 0, "", 0
+    while m := _TOKEN.search(page, at):
         if m.start() > at and not skip:
             yield "text", "", page[at : m.start()]
         at = m.end()
         name = (m[2] or "").lower()
-        if skip:
-            if m[1] and name == skip:
-                skip = ""
+        if name in RAW:
+            if not m[1]:
+                end = _RAW_END[name].search(page, at)
+                if end or not m[3].endswith("/"):
+                    at = end.end() if end else len(page)
+        elif skip:
+            if name == skip and not m[3].endswith("/"):
+                depth += -1 if m[1] else 1
+                skip = skip if depth else ""
+        elif name in LEFT_OUT:
+            if not m[1] and not m[3].endswith("/"):
+                skip, depth = name, 1
         elif name:
-            if not m[1] and name in RAW and not m[3].endswith("/"):
-                skip = name
-            elif not m[1]:
-                yield "open", name, m[3]
-            elif name not in RAW:
-                yield "close", name, ""
+            yield ("close", name, "") if m[1] else ("open", name, m[3])
     if not skip and at < len(page):
         yield "text", "", page[at:]
 

@@ -52,3 +52,14 @@ def test_given_pages_against_their_own_marks(spark):
         expected[r.page_id] = "\n".join(x for x in (" ".join(b.split()) for b in blocks) if x)
     got = {r.page_id: r.text for r in main_text(pages, trained(pages)).collect()}
     assert got == expected
+
+
+def test_script_text_is_no_markup():
+    article = "<article><p>Words of the article.</p></article>"
+    for script in ("for(i=0;i<n;i++){}", "a<b&&c>d", "x='<!--'", "if(a<b){s=\"'\"}"):
+        assert extracted(f"<head><script>{script}</SCRIPT ></head><body>{article}<script>f()</script>", Weights()) == "Words of the article."
+
+
+def test_nested_and_inline_elements():
+    page = "<article><p>One <svg><g><svg><text>no</text></svg><text>nor this</text></g></svg>two <math><mi>x</mi></math> <object><p>three</object> <canvas>four</canvas></article>"
+    assert extracted(page, Weights()).split() == ["One", "two", "x", "three", "four"]
