@@ -5,8 +5,11 @@ windows, each a sequence of its own; what is left of every document is packed. L
 dealt by a hash into groups of about ``GROUP`` (from the table's row count, so a group is
 bounded at any size), and each group is packed by itself: longest first, into the open
 sequence with the least room that still holds it, which a segment tree indexed by remaining
-capacity finds. Only the leftovers' numbers are shuffled, never a text or an id. A group
-wastes about one sequence in its thousands.
+capacity finds. The leftovers are shuffled once, with their ids; full windows stay where they
+are. A group wastes about one sequence in its thousands.
+
+The result holds the ids themselves, one row per piece: the pieces of a sequence_id in the order
+of offset are a training sequence. ``digest`` replaces the ids by their checksum.
 
 The ids are those of the ``tokenizers`` file. Its vocabulary, merges and split pattern are
 given to a faster encoder of the same algorithm; a text that holds a special token of the file
@@ -24,6 +27,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,6 +36,8 @@ from netloom.llm.common import written
 LENGTH = 2048
 END_ID = 1
 GROUP = 10_000
+#: Documents whose ids a worker holds at once.
+ROWS = 500
 #: What the ByteLevel splitter of the file means (fixed value).
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -82,28 +88,36 @@ def encoder(name: str) -> Encoder:
     return Encoder(tokenizer_path(name))
 
 
-_PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
+_PIECES = "doc_id long, start long, length long, ids array<int>, ids_crc32 long, doc_tokens long"
 _COLUMNS = [c.split()[0] for c in _PIECES.split(", ")]
 
 
 def pieces(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", length: int = LENGTH, end_id: int = END_ID) -> DataFrame:
-    """(doc_id, text) -> doc_id, start, length, ids_crc32, doc_tokens; all but a document's last piece are full."""
+    """(doc_id, text) -> doc_id, start, length, ids, ids_crc32, doc_tokens; all but a document's last piece are full."""
 
     def run(batches):
         encode = encoder(vocabulary)
         for batch in batches:
-            ids, starts, sizes, sums, totals = [], [], [], [], []
-            for doc_id, text in zip(batch.column("doc_id"), batch.column("text"), strict=True):
-                tokens = np.array([*encode(text.as_py()), end_id], "<u4")
-                for start in range(0, len(tokens), length):
-                    part = tokens[start : start + length]
-                    ids.append(doc_id.as_py())
-                    starts.append(start)
-                    sizes.append(len(part))
-                    sums.append(zlib.crc32(part.tobytes()))
-                    totals.append(len(tokens))
-            columns = (ids, starts, sizes, sums, totals)
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], _COLUMNS)
+            for at in range(0, len(batch), ROWS):
+                yield of_rows(encode, batch.slice(at, ROWS))
+
+    def of_rows(encode: Encoder, batch: pa.RecordBatch) -> pa.RecordBatch:
+        ids, starts, sizes, parts, sums, totals = [], [], [], [], [], []
+        for doc_id, text in zip(batch.column("doc_id"), batch.column("text"), strict=True):
+            tokens = np.array([*encode(text.as_py()), end_id], "<u4")
+            for start in range(0, len(tokens), length):
+                part = tokens[start : start + length]
+                ids.append(doc_id.as_py())
+                starts.append(start)
+                sizes.append(len(part))
+                parts.append(part)
+                sums.append(zlib.crc32(part.tobytes()))
+                totals.append(len(tokens))
+        offsets = pa.array(np.cumsum([0, *sizes]), pa.int32())
+        values = np.concatenate(parts).astype(np.int32) if parts else np.zeros(0, np.int32)
+        columns = [pa.array(c, pa.int64()) for c in (ids, starts, sizes, sums, totals)]
+        columns.insert(3, pa.ListArray.from_arrays(offsets, pa.array(values)))
+        return pa.RecordBatch.from_arrays(columns, _COLUMNS)
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, _PIECES)
 
@@ -159,7 +173,7 @@ def best_fit_decreasing(sizes: np.ndarray, length: int = LENGTH) -> tuple[np.nda
 
 
 def packed(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", length: int = LENGTH, end_id: int = END_ID, group: int = GROUP) -> DataFrame:
-    """(doc_id, text) -> pieces with sequence_id and offset.
+    """(doc_id, text) -> pieces with their ids, sequence_id and offset.
 
     A full piece's sequence has an even id, a packed one's an odd id. The pieces are a table in
     the shared folder, so tokenizing runs when this is called.
@@ -169,14 +183,21 @@ def packed(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", length: int =
     whole = cut.where(F.col("length") == length).withColumns(
         {"sequence_id": 2 * F.monotonically_increasing_id(), "offset": F.lit(0).cast("long")}
     )
-    part = F.pmod(F.xxhash64(*_COLUMNS), F.lit(groups)).cast("long")
+    part = F.pmod(F.xxhash64(*[c for c in _COLUMNS if c != "ids"]), F.lit(groups)).cast("long")
 
     def of_group(rows: pa.Table) -> pa.Table:
+        keys = [c for c in (*_COLUMNS, "part") if c != "ids"]
         order = [("length", "descending"), ("doc_id", "ascending"), ("start", "ascending"), ("ids_crc32", "ascending")]
-        rows = rows.sort_by(order)
+        index = pa.compute.sort_indices(rows.select(keys), sort_keys=order)
+        rows = rows.take(index)
         sequence, offset = best_fit_decreasing(rows.column("length").to_numpy(), length)
         number = 2 * ((rows.column("part")[0].as_py() << 32) | sequence) + 1
         return rows.select(_COLUMNS).append_column("sequence_id", pa.array(number)).append_column("offset", pa.array(offset))
 
     left = cut.where(F.col("length") < length).withColumn("part", part)
     return whole.unionByName(left.groupBy("part").applyInArrow(of_group, f"{_PIECES}, sequence_id long, offset long"))
+
+
+def digest(pieces: DataFrame) -> DataFrame:
+    """Packed pieces without the ids; their checksum stays."""
+    return pieces.drop("ids")

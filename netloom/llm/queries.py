@@ -57,7 +57,7 @@ def op1_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
 @query()
 def op4_packing(spark: SparkSession, folder: str) -> DataFrame:
     """All documents packed into sequences of 2048 tokens."""
-    return packing.packed(table(spark, folder, "documents"))
+    return packing.digest(packing.packed(table(spark, folder, "documents")))
 
 
 @query(r"""

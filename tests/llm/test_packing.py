@@ -73,3 +73,15 @@ def test_round_trip(edge):
 
 def test_empty_table(nothing):
     assert packed(nothing).count() == 0
+
+
+def test_sequences_hold_every_id(edge):
+    encode = encoder("byte_bpe_50k.json").exact
+    docs = defaultdict(list)
+    for r in packed(edge).orderBy("sequence_id", "offset").collect():
+        assert r.length == len(r.ids) and zlib.crc32(np.array(r.ids, "<u4").tobytes()) == r.ids_crc32
+        docs[r.doc_id].append((r.start, r.ids))
+    for r in edge.where("text IS NOT NULL").dropDuplicates(["doc_id"]).collect():
+        if sum(start == 0 for start, _ in docs[r.doc_id]) == 1:
+            assert [i for _, ids in sorted(docs[r.doc_id]) for i in ids] == [*encode.encode(r.text, add_special_tokens=False).ids, END_ID]
+    assert any(docs.values())
