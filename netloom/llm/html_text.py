@@ -9,7 +9,10 @@ by block.
 
 The weights are learned from labelled pages: pages that mark their content themselves
 (``<article>`` or ``<main>``). Every container (tag name, with its class names where it has
-any) gets the log-odds of its words lying outside, every tag name that of its occurrences. A
+any) gets the log-odds of its words lying outside, every tag name that of its occurrences.
+Containers whose names speak against content (adverts, comments, ...) are outside within the
+article too. A container is judged by the words that do not lie in deeper ones of these or in a
+marked one; what holds the marked content on most of its pages is never judged. A
 bounded sample of ``PAGES`` pages is used; what a sample lacks rests on prior counts by the
 names that HTML itself gives such containers.
 
@@ -51,9 +54,11 @@ BLOCKS = {
 }
 NOT_CONTENT = {"head", "title", "nav", "header", "footer", "aside", "form", "menu", "dialog", "button", "select", "option", "label", "fieldset", "legend", "datalist"}
 CONTENT = {"article", "main"}
+#: Where these stand around a marked container, it is no content (teasers of other pages).
+BESIDE = {"nav", "aside", "footer", "menu", "dialog"}
 #: Parts of class names and ids of what is not content (fixed values, prior only).
 NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|advert\w*|banner|breadcrumbs?|comments?|cookies?|consent|footer|header|masthead|menu|modal|nav|navbar|navigation|newsletter|"
+    r"(?:^|(?<!with)(?<!has)[\s_-])(?:ad|ads|advert\w*|banner|breadcrumbs?|comments?|cookies?|consent|footer|header|masthead|menu|modal|nav|navbar|navigation|newsletter|"
     r"notice|popup|promo\w*|related|share|sharing|sidebar|social|sponsor\w*|subscribe|toolbar|widget|disqus|replies|alert)(?:$|[\s_-])",
     re.IGNORECASE,
 )
@@ -103,48 +108,73 @@ def container(name: str, attributes: str) -> tuple[str, bool]:
 class Weights:
     words: dict[str, list[float]] = field(default_factory=dict)  # container -> words inside, outside the marked content
     tags: dict[str, list[float]] = field(default_factory=dict)  # tag name -> occurrences inside, outside
+    holds: dict[str, list[float]] = field(default_factory=dict)  # container -> pages where it holds the marked content, others
 
     def outside(self, key: str, against: bool) -> float:
         """Log-odds that words of the container are no content."""
         inside, out = self.words.get(key, (0.0, 0.0))
         return math.log((out + 1 + PRIOR * against) / (inside + 1 + PRIOR * (not against)))
 
+    def flagged(self, name: str, attributes: str) -> bool:
+        """Whether a container holds no content."""
+        key, against = container(name, attributes)
+        holding, other = self.holds.get(key, (0.0, 0.0))
+        return name not in ("html", "body") and holding <= other and self.outside(key, against) > OUTSIDE
+
     def cost(self, name: str) -> float:
         inside, out = self.tags.get(name, (0.0, 0.0))
         return TAG * max(0.1, math.log((out + 1) / (inside + 1)))
 
 
 def learned(counts: list[tuple[str, str, float, float]]) -> Weights:
-    """From (kind, name, inside, outside), kind ``words`` or ``tags``."""
+    """From (kind, name, inside, outside), kind ``words``, ``tags`` or ``holds``."""
     found = Weights()
     for kind, name, inside, out in counts:
-        (found.words if kind == "words" else found.tags)[name] = [inside, out]
+        getattr(found, kind)[name] = [inside, out]
     return found
 
 
 def counted(page: str) -> Counter:
     """(kind, name, inside) -> how many, of a page that marks its content."""
     out: Counter = Counter()
-    stack: list[str] = []
-    marked = 0
+    stack: list[tuple[str, str, bool, bool]] = []  # name, key, against, marked
+    seen, holding = set(), set()
     for kind, name, rest in tokens(page):
         if kind == "text":
             n = len(rest.split())
             if n:
-                for key in set(stack):
-                    out["words", key, marked > 0] += n
+                keys, inside = _own(stack)
+                for key in keys:
+                    out["words", key, inside] += n
             continue
         if name not in CONTENT:
-            out["tags", name, marked > 0] += 1
+            out["tags", name, _own(stack)[1]] += 1
         if kind == "open" and name not in VOID:
-            stack.append(container(name, rest)[0])
-            marked += name in CONTENT
+            key, against = container(name, rest)
+            if name == "header" and _own(stack)[1]:
+                against = False  # an article's own heading
+            marked = name in CONTENT and not any(x[0] in BESIDE for x in stack)
+            if marked:
+                holding.update(x[1] for x in stack)
+            seen.add(key)
+            stack.append((name, key, against, marked))
         elif kind == "close":
-            gone = _closed(stack, name)
-            marked -= sum(k.split(".")[0] in CONTENT for k in gone)
+            _closed(stack, name, key=lambda entry: entry[0])
+    for key in seen:
+        out["holds", key, key in holding] += 1
     return out
 
 
+def _own(stack: list[tuple[str, str, bool, bool]]) -> tuple[set[str], bool]:
+    """The containers that words here tell about, up to the first that is against content or marked; whether it is marked."""
+    keys = set()
+    for _, key, against, marked in reversed(stack):
+        keys.add(key)
+        if against or marked:
+            return keys, marked and not against
+    return keys, False
+
+
 #: A tag of these closes an open one of the same kind (fixed values).
 _CLOSES_OWN = {"p", "li", "dt", "dd", "tr", "td", "th", "option"}
 
@@ -164,7 +194,7 @@ def extracted(page: str | None, weights: Weights) -> str:
     if not page:
         return ""
     pieces: list[tuple[float, str | None, bool]] = []  # score, text (None: a block's edge), content
-    stack: list[tuple[str, bool]] = []
+    stack: list[tuple[str, int]] = []  # name, flagged containers around it
     bad = 0
     for kind, name, rest in tokens(page):
         if kind == "text":
@@ -177,17 +207,19 @@ def extracted(page: str | None, weights: Weights) -> str:
                 # an open paragraph ends here, with what is open inside it, unless a container lies between
                 for i in range(len(stack) - 1, -1, -1):
                     if stack[i][0] == name:
-                        bad -= sum(b for _, b in stack[i:])
+                        bad = stack[i][1]
                         del stack[i:]
                         break
                     if stack[i][0] in BLOCKS:
                         break
             if name not in VOID:
-                key, against = container(name, rest)
-                stack.append((name, weights.outside(key, against) > OUTSIDE))
-                bad += stack[-1][1]
-        else:
-            bad -= sum(b for _, b in _closed(stack, name, key=lambda entry: entry[0]))
+                stack.append((name, bad))
+                if name in CONTENT and not any(x in BESIDE for x, _ in stack):
+                    bad = 0  # what stands around the marked content has no say in it
+                else:
+                    bad += weights.flagged(name, rest)
+        elif gone := _closed(stack, name, key=lambda entry: entry[0]):
+            bad = gone[0][1]
         pieces.append((-weights.cost(name), edge, not bad))
     first, last = best_region([score for score, _, _ in pieces])
     blocks, now = [], []

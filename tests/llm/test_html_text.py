@@ -63,3 +63,31 @@ def test_script_text_is_no_markup():
 def test_nested_and_inline_elements():
     page = "<article><p>One <svg><g><svg><text>no</text></svg><text>nor this</text></g></svg>two <math><mi>x</mi></math> <object><p>three</object> <canvas>four</canvas></article>"
     assert extracted(page, Weights()).split() == ["One", "two", "x", "three", "four"]
+
+
+def _learned(pages):
+    from collections import Counter
+
+    from netloom.llm.html_text import counted, learned
+
+    total = Counter()
+    for page in pages:
+        total += counted(page)
+    return learned([(k, n, float(c if i else 0), float(0 if i else c)) for (k, n, i), c in total.items()])
+
+
+def test_adverts_within_sampled_articles_stay_adverts():
+    body = "<p>" + "good words here " * 10 + "</p>"
+    page = f"<body><nav>Menu</nav><article>{body}<div class=ad>{'buy it now ' * 20}</div><aside>{'other stories ' * 20}</aside>{body}</article></body>"
+    good = ("good words here " * 10).strip()
+    assert extracted(page, _learned([page] * 50)) == f"{good}\n{good}"
+
+
+def test_what_stands_around_the_marked_content_has_no_veto():
+    menu = "<ul class=x>" + "<li>menu entry of many words" * 60 + "</ul>"
+    article = "<article><p>" + "good words here " * 10 + "</p></article>"
+    page = f"<html><body><div class='layout with-sidebar'>{menu}{article}<section class=comments>{'reader says ' * 200}</section></div></body></html>"
+    good = ("good words here " * 10).strip()
+    assert extracted(page, _learned([page] * 50)) == good
+    for wrapper in ("layout with-sidebar", "sidebar"):
+        assert extracted(f"<body><div class='{wrapper}'>{article}</div></body>", Weights()) == good
