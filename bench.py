@@ -29,20 +29,25 @@ def main() -> None:
         "bench", f"local[{cpus}]", **{"spark.sql.shuffle.partitions": cpus, "spark.driver.memory": "16g"}
     )
     spark.sparkContext.setLogLevel("ERROR")
-    seconds = {}
+    seconds, errors = {}, {}
     for name in HEADLINE:
         taken = []
-        for _ in range(runs):
-            begin = time.perf_counter()
-            QUERIES[name](spark, folder).write.format("noop").mode("overwrite").save()
-            taken.append(time.perf_counter() - begin)
-        seconds[name] = round(min(taken), 3)
+        try:
+            for _ in range(runs):
+                begin = time.perf_counter()
+                QUERIES[name](spark, folder).write.format("noop").mode("overwrite").save()
+                taken.append(time.perf_counter() - begin)
+        except Exception as problem:
+            errors[name] = str(problem)[:300]
+        else:
+            seconds[name] = round(min(taken), 3)
     spark.stop()
     print(
         json.dumps(
             {
                 "metric": "headline_queries_total", "value": round(sum(seconds.values()), 3), "unit": "sec",
                 "queries": seconds, "sf": os.path.basename(folder.rstrip("/")).removeprefix("sf"),
+                **({"errors": errors} if errors else {}),
             }
         )
     )

@@ -863,7 +863,7 @@ def s1_log_files_one_layout(spark, folder):
     path = scratch_path(spark, "conn-logs")
     conn = v.conn(spark, folder).withColumn("row_no", F.monotonically_increasing_id() + 1)
     write_lines(log_lines(conn, "conn", "row_no"), path)
-    back = zeek_tsv.read_uniform(spark, path)
+    back = zeek_tsv.read_uniform(spark, path, folders=True)
     return back.select("uid", F.unix_micros("ts").alias("ts_us"), "orig_h", "orig_p", "resp_h", "resp_p", "proto")
 
 
