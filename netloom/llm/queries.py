@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from netloom.llm import (
-    decontaminate, html_text, language_id, line_dedup, near_dedup, packing, quality_model, quality_rules, span_dedup, toxicity,
+    decontaminate, html_text, language_id, line_dedup, merkle, near_dedup, packing, quality_model, quality_rules, sentence_pieces,
+    span_dedup, toxicity,
 )
 from netloom.llm.common import id_remainder, table
 
@@ -167,3 +168,69 @@ def op10_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """All documents without passages that occur earlier."""
     cleaned = span_dedup.without_repeats(table(spark, folder, "documents"))
     return cleaned.select("doc_id", "n_units", "n_removed", (F.col("n_removed") > 0).alias("repeated"), "removed", "text")
+
+
+@query()
+def op11_sentence_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    """The SentencePiece ids of all documents and the texts they decode to, as digests."""
+    found = sentence_pieces.encoded(table(spark, folder, "documents"))
+    told = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return found.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(told.cast("binary"), 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
+#: A cell with its length in bytes, in DuckDB.
+_CELL = "coalesce(strlen({0})::VARCHAR || ':' || {0}, '-')"
+_LEAF = "sha256(concat(" + ", ".join(_CELL.format(c) for c in ("doc_id::VARCHAR", "source", "lang", "n_chars::VARCHAR", "{text}")) + "))"
+#: crc32 of a column of decimal digits, bit by bit.
+_CRC32 = (
+    "xor(4294967295, list_reduce([4294967295] || [ascii(c)::BIGINT FOR c IN string_split({0}, '')],"
+    " lambda x, b: list_reduce([xor(x, b)] || [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[], lambda a, z: xor(a >> 1, (a & 1) * 3988292384))))"
+)
+
+
+@query(f"""
+WITH RECURSIVE leaves AS MATERIALIZED (
+  SELECT *, row_number() OVER (PARTITION BY k ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY k) AS n FROM (
+    SELECT row_number() OVER () AS row, doc_id, coalesce('+' || lang, '') AS k, {_LEAF.format(text="text")} AS leaf,
+      CASE WHEN {_CRC32.format("doc_id::VARCHAR")} % 3 = 0
+        THEN {_LEAF.format(text="translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} END AS lowered FROM documents)),
+low AS (
+  SELECT 0 AS height, k, n, pos, leaf AS hash FROM leaves
+  UNION ALL
+  SELECT height + 1, k, (n + 7) // 8, pos // 8, sha256(string_agg(hash, '' ORDER BY pos)) FROM low WHERE n > 1 GROUP BY height, k, n, pos // 8),
+subroots AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY k) - 1 AS pos, count(*) OVER () AS n FROM (SELECT k, hash FROM low WHERE n = 1)),
+high AS (
+  SELECT 0 AS height, n, pos, hash FROM subroots
+  UNION ALL
+  SELECT height + 1, (n + 7) // 8, pos // 8, sha256(string_agg(hash, '' ORDER BY pos)) FROM high WHERE n > 1 GROUP BY height, n, pos // 8),
+low_runs AS MATERIALIZED (SELECT height, k, pos // 8 AS run, list(hash ORDER BY pos) AS h FROM low WHERE n > 1 GROUP BY height, k, pos // 8),
+high_runs AS MATERIALIZED (SELECT height, pos // 8 AS run, list(hash ORDER BY pos) AS h FROM high WHERE n > 1 GROUP BY height, pos // 8),
+below AS (
+  SELECT row, k, n, 0 AS height, pos, '' AS proof, coalesce(lowered, leaf) AS fold FROM leaves
+  UNION ALL
+  SELECT row, w.k, (n + 7) // 8, w.height + 1, pos // 8, proof || array_to_string(h[1:pos % 8] || h[pos % 8 + 2:], ''),
+    sha256(array_to_string(h[1:pos % 8], '') || fold || array_to_string(h[pos % 8 + 2:], ''))
+  FROM below w JOIN low_runs r ON r.height = w.height AND r.k = w.k AND r.run = pos // 8),
+above AS (
+  SELECT row, s.n, 0 AS height, s.pos, proof, fold, s.hash AS subroot FROM below w JOIN subroots s USING (k) WHERE w.n = 1
+  UNION ALL
+  SELECT row, (n + 7) // 8, w.height + 1, pos // 8, proof || array_to_string(h[1:pos % 8] || h[pos % 8 + 2:], ''),
+    sha256(array_to_string(h[1:pos % 8], '') || fold || array_to_string(h[pos % 8 + 2:], '')), subroot
+  FROM above w JOIN high_runs r ON r.height = w.height AND r.run = pos // 8)
+SELECT doc_id, leaf, subroot, hash AS root, sha256(proof) AS proof_sha256, fold AS folded_root, fold = hash AS verified
+FROM above a JOIN leaves USING (row), high WHERE a.n = 1 AND high.n = 1
+""")
+def op13_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    """Leaf, roots and proof of all documents, and whether a change of case is found out."""
+    docs = table(spark, folder, "documents")
+    tampered = F.coalesce(id_remainder(F.col("doc_id"), 3) == 0, F.lit(False))
+    lowered = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    rows = merkle.manifest(docs, held={"text": F.when(tampered, lowered).otherwise(F.col("text"))})
+    root, fold = merkle.hex_text(F.col("root")), merkle.folded(F.col("held_leaf"), F.col("path"))
+    return rows.select(
+        "doc_id", merkle.hex_text(F.col("leaf")).alias("leaf"), merkle.hex_text(F.col("subroot")).alias("subroot"), root.alias("root"),
+        merkle.proof_digest(F.col("path")).alias("proof_sha256"), fold.alias("folded_root"), (fold == root).alias("verified"),
+    )
