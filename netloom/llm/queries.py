@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from netloom.llm import (
-    decontaminate, html_text, language_id, line_dedup, merkle, near_dedup, packing, quality_model, quality_rules, sentence_pieces,
+    decontaminate, hard_negatives, html_text, language_id, line_dedup,
+    merkle, near_dedup, packing, quality_model, quality_rules, sentence_pieces,
     span_dedup, toxicity,
 )
 from netloom.llm.common import id_remainder, table
@@ -181,6 +182,30 @@ def op11_sentence_pieces(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query("""
+WITH v AS MATERIALIZED (
+  SELECT vec_id, (CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END)::BIGINT AS label,
+         [floor(x::DOUBLE * 256)::BIGINT FOR x IN embedding] AS x
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND vec_id IS NOT NULL
+    AND len([1 FOR x IN embedding IF x IS NULL OR isnan(x) OR isinf(x)]) = 0),
+scored AS MATERIALIZED (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS other_id, a.label = b.label AS same, list_inner_product(a.x::DOUBLE[], b.x::DOUBLE[])::BIGINT AS score
+  FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
+positives AS MATERIALIZED (
+  SELECT anchor_id, other_id AS positive_id, score AS positive_score FROM scored WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5)
+SELECT anchor_id, positive_id, (row_number() OVER w)::INTEGER AS rank, other_id AS negative_id, positive_score, score AS negative_score
+FROM positives JOIN scored USING (anchor_id)
+WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other_id) QUALIFY row_number() OVER w <= 3
+""")
+def op12_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    """Three hard negatives for each of an anchor's five positives."""
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = hard_negatives.integer_vectors(table(spark, folder, "embeddings"), "vec_id", "embedding", moved)
+    return hard_negatives.mined(rows, F.col("vec_id") % 50 == 0)
+
+
 #: A cell with its length in bytes, in DuckDB.
 _CELL = "coalesce(strlen({0})::VARCHAR || ':' || {0}, '-')"
 _LEAF = "sha256(concat(" + ", ".join(_CELL.format(c) for c in ("doc_id::VARCHAR", "source", "lang", "n_chars::VARCHAR", "{text}")) + "))"
