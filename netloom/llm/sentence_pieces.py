@@ -5,16 +5,18 @@ marker after another character, no piece crosses from a word into the markers of
 so a text's ids are those of its chunks (markers and the word behind them) one after another.
 
 1. Documents are cut into chunks in blocks of about ``BLOCK`` characters. A block keeps its
-   distinct chunks once and, per document, the places of its chunks in that list.
-2. The distinct chunks of all blocks, combined in every task before they are shuffled, are
-   segmented by the library, each once, whatever number of documents holds them.
-3. Each block gets its chunks' ids back by an equi-join and its documents are put together by
-   position.
-
-What is moved is the blocks' distinct chunks and four bytes a word, never the text. A task holds a
-block: ``BLOCK`` characters, or one document if that is longer. Chunks of a model whose pieces do
-cross markers would be wrong, so such a model is refused; so is one whose normalised chunks
-don't stay as they are when they are normalised alone.
+   distinct chunks once, the most frequent first, and per document the places of its chunks in
+   that list. This is a table in the shared folder, bucketed by block.
+2. The blocks' lists meet by a hash of the chunk: a group of the distinct-chunk table holds all
+   occurrences of its chunks in lists, about ``LISTED`` of them, and has the library segment each
+   distinct chunk once, whatever number of documents holds it.
+3. Each block gets its lists' ids back and its documents are put together by position. The
+   bucketed table is read where it lies, so only lists and ids are ever shuffled, never texts or
+   places.
+
+A task holds a block: ``BLOCK`` characters, or one document if that is longer. Chunks of a model
+whose pieces do cross markers would be wrong, so such a model is refused; so is one whose
+normalised chunks don't stay as they are when they are normalised alone.
 
 Defined cases: a null or empty text is the end id alone (or nothing without one) and decodes to
 an empty text. Repeated rows and ids are encoded each. A null id is kept. Extra columns are ignored.
@@ -23,6 +25,9 @@ an empty text. Repeated rows and ids are encoded each. A null id is kept. Extra
 from __future__ import annotations
 
 import re
+import uuid
+import zlib
+from collections.abc import Iterable
 from functools import lru_cache
 
 import numpy as np
@@ -31,11 +36,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netloom.llm.common import written
+from netloom.session import scratch_path
 
 MODEL = "piece_bpe_32k.model"
 #: Characters of a block of documents, and of the stretch of a text that is cut at once.
-BLOCK, STRETCH = 8_000_000, 1_000_000
+BLOCK, STRETCH = 32_000_000, 1_000_000
+#: Entries of lists in a group of the distinct-chunk table.
+LISTED = 250_000
 MARKER = "▁"
 _CHUNK = re.compile(f"{MARKER}*[^{MARKER}]+|{MARKER}+")
 
@@ -94,13 +101,23 @@ def segmenter(name: str) -> Segmenter:
     return Segmenter(model_path(name))
 
 
-_BLOCKS = "block long, row int, doc_id long, places array<int>, chunks array<string>"
-_NAMES = [c.split()[0] for c in _BLOCKS.split(", ")]
-_KINDS = [pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.string())]
+def packed(values: Iterable[int] | np.ndarray) -> bytes:
+    """32-bit numbers with their first bytes first, then their second bytes, and so on: small numbers compress to little."""
+    return np.asarray(values, "<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<u4").reshape(-1)
+
+
+#: Rows of documents (``row`` from 0, ``places`` packed) and, with ``row`` -1, of lists (``chunks`` joined by spaces, which no chunk holds).
+_BLOCKS = {"block": pa.int64(), "row": pa.int32(), "doc_id": pa.int64(), "size": pa.int64(), "places": pa.binary(), "chunks": pa.string()}
+_LISTS = "block long, part int, chunks string"
+_IDS = "of long, part int, sizes binary, ids binary"
 
 
 def blocks(docs: DataFrame, model: str = MODEL, block: int = BLOCK) -> DataFrame:
-    """(doc_id, text) -> a row per document with its chunks' places, and a row -1 per block with its distinct chunks."""
+    """(doc_id, text) -> a row per document with its chunks' places, and one per block with its distinct chunks."""
 
     def run(batches):
         cut = segmenter(model)
@@ -111,68 +128,117 @@ def blocks(docs: DataFrame, model: str = MODEL, block: int = BLOCK) -> DataFrame
             for doc_id, text in zip(batch.column("doc_id"), batch.column("text"), strict=True):
                 text = text.as_py() or ""
                 if rows and size + len(text) > block:
-                    yield of_block(number, rows, known)
+                    yield from of_block(number, rows, known)
                     number, rows, known, size = number + 1, [], {}, 0
                 places = [
-                    np.fromiter((known.setdefault(c, len(known)) for c in part), np.int32, len(part)) for part in cut.chunks(text)
+                    np.fromiter((known.setdefault(c, len(known)) for c in part), np.uint32, len(part)) for part in cut.chunks(text)
                 ]
-                rows.append((doc_id.as_py(), np.concatenate(places) if places else np.zeros(0, np.int32)))
+                rows.append((doc_id.as_py(), np.concatenate(places) if places else np.zeros(0, np.uint32)))
                 size += len(text)
         if rows:
-            yield of_block(number, rows, known)
+            yield from of_block(number, rows, known)
+
+    def of_block(number: int, rows: list[tuple], known: dict[str, int]):
+        chunks = list(known)
+        often = np.zeros(len(chunks), np.int64)
+        for _, places in rows:
+            often += np.bincount(places, minlength=len(chunks)).astype(np.int64) if len(chunks) else 0
+        order = np.argsort(-often, kind="stable")
+        rank = np.empty(len(order), np.uint32)
+        rank[order] = np.arange(len(order), dtype=np.uint32)
+        yield rows_of([(number, -1, None, len(chunks), None, " ".join(chunks[i] for i in order))])
+        for at in range(0, len(rows), 1000):
+            yield rows_of([(number, at + i, d, len(p), packed(rank[p]), None) for i, (d, p) in enumerate(rows[at : at + 1000])])
+
+    def rows_of(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), _BLOCKS.values(), strict=True)], list(_BLOCKS))
+
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "block long, row int, doc_id long, size long, places binary, chunks string")
 
-    def of_block(number: int, rows: list[tuple], known: dict[str, int]) -> pa.RecordBatch:
-        n = len(rows)
-        offsets = np.cumsum([0, *(len(p) for _, p in rows), 0])
-        places = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate([p for _, p in rows])))
-        columns = [[number] * (n + 1), [*range(n), -1], [*(d for d, _ in rows), None], places, [None] * n + [list(known)]]
-        return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, k) for c, k in zip(columns, _KINDS, strict=True)], _NAMES)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, _BLOCKS)
+def _bucketed(df: DataFrame, key: str) -> DataFrame:
+    """``df`` as a table in the shared folder, in buckets of ``key``: grouping by it needs no shuffle."""
+    spark, name = df.sparkSession, f"netloom_{uuid.uuid4().hex}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    writer = df.write.format("parquet").option("compression", "zstd").option("path", scratch_path(spark, "piece-blocks"))
+    writer.bucketBy(buckets, key).saveAsTable(name)
+    return spark.table(name)
 
 
-def segmented(chunks: DataFrame, model: str = MODEL) -> DataFrame:
-    """(chunk) -> chunk, ids."""
+def _parts(chunks: list[str], parts: int) -> list[np.ndarray]:
+    """The places of the chunks of each group, ascending."""
+    of = np.fromiter((zlib.crc32(c.encode()) for c in chunks), np.uint32, len(chunks)) % np.uint32(parts)
+    order = np.argsort(of, kind="stable")
+    return np.split(order, np.searchsorted(of[order], np.arange(1, parts)))
+
+
+def dealt(lists: DataFrame, parts: int) -> DataFrame:
+    """(block, chunks) -> block, part, chunks: a block's list by groups of the distinct-chunk table."""
 
     def run(batches):
-        cut = segmenter(model)
         for batch in batches:
-            ids = [cut.ids(c) for c in batch.column("chunk").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("chunk"), pa.array(ids, pa.list_(pa.int32()))], ["chunk", "ids"])
+            for block, joined in zip(batch.column("block").to_pylist(), batch.column("chunks").to_pylist(), strict=True):
+                chunks = joined.split(" ") if joined else []
+                rows = [(block, part, " ".join(chunks[i] for i in places)) for part, places in enumerate(_parts(chunks, parts)) if len(places)]
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], ["block", "part", "chunks"]).cast(
+                        pa.schema({"block": pa.int64(), "part": pa.int32(), "chunks": pa.string()})
+                    )
+
+    return lists.select("block", "chunks").mapInArrow(run, _LISTS)
+
+
+def segmented(lists: DataFrame, model: str = MODEL) -> DataFrame:
+    """The ids of every list's chunks; a chunk that many lists hold is segmented once."""
+
+    def of_part(rows: pa.Table) -> pa.Table:
+        cut, known = segmenter(model), {}
+        sizes, ids = [], []
+        for joined in rows.column("chunks").to_pylist():
+            found = []
+            for chunk in joined.split(" "):
+                if chunk not in known:
+                    known[chunk] = np.asarray(cut.ids(chunk), "<u4")
+                found.append(known[chunk])
+            sizes.append(packed([len(f) for f in found]))
+            ids.append(packed(np.concatenate(found)))
+        return pa.table([rows.column("block"), rows.column("part"), pa.array(sizes, pa.binary()), pa.array(ids, pa.binary())], ["of", "part", "sizes", "ids"])
 
-    return chunks.select("chunk").mapInArrow(run, "chunk string, ids array<int>")
+    return lists.groupBy("part").applyInArrow(of_part, _IDS)
 
 
-def encoded(docs: DataFrame, model: str = MODEL, end: bool = True, block: int = BLOCK) -> DataFrame:
+def encoded(docs: DataFrame, model: str = MODEL, end: bool = True, block: int = BLOCK, listed: int = LISTED) -> DataFrame:
     """(doc_id, text) -> doc_id, ids, decoded: the library's ids of every text and what its decode(ids) gives.
 
-    The blocks are a table in the shared folder, so documents are cut when this is called.
+    The blocks are a table of their own, so documents are cut when this is called.
     """
-    cut = written(blocks(docs, model, block), "piece-blocks")
-    listed = cut.where("row = -1").select("block", F.posexplode("chunks").alias("at", "chunk"))
-    known = segmented(listed.select("chunk").distinct(), model)
-    table = listed.join(known, "chunk").select(F.col("block").alias("of"), "at", "ids")
+    cut = _bucketed(blocks(docs, model, block), "block")
+    lists = cut.where("row = -1")
+    parts = max(1, -(-(lists.agg(F.sum("size")).first()[0] or 0) // listed))
+    known = segmented(dealt(lists, parts), model)
 
-    def of_block(texts: pa.Table, table: pa.Table) -> pa.Table:
+    def of_block(rows: pa.Table, found: pa.Table) -> pa.Table:
         library, tail = segmenter(model).library, [segmenter(model).end_id] if end else []
-        table = table.combine_chunks()
-        lists = table.column("ids").combine_chunks()
-        lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
-        flat, bounds = lists.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64)
-        at = table.column("at").to_numpy()
-        first, size = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
-        first[at], size[at] = bounds[:-1], np.diff(bounds)
-        ids, decoded = [], []
-        for places in texts.column("places"):
-            places = places.values.to_numpy(zero_copy_only=False)
-            sizes = size[places]
+        of_rows = rows.column("row").to_numpy()
+        joined = rows.column("chunks")[int(np.nonzero(of_rows == -1)[0][0])].as_py()
+        places = _parts(joined.split(" ") if joined else [], parts)
+        first, size = np.zeros(sum(map(len, places)), np.int64), np.zeros(sum(map(len, places)), np.int64)
+        flat, at = [], 0
+        for part, sizes, ids in zip(*(found.column(c).to_pylist() for c in ("part", "sizes", "ids")), strict=True):
+            sizes = unpacked(sizes).astype(np.int64)
+            size[places[part]], first[places[part]] = sizes, at + np.cumsum(sizes) - sizes
+            flat.append(unpacked(ids))
+            at += len(flat[-1])
+        flat = np.concatenate([*flat, np.zeros(0, "<u4")])
+        ids, decoded, of_docs = [], [], np.nonzero(of_rows >= 0)[0]
+        for row in of_docs:
+            own = unpacked(rows.column("places")[int(row)].as_py())
+            sizes = size[own]
             ends = np.cumsum(sizes)
-            total = int(ends[-1]) if len(ends) else 0
-            source = np.arange(total) + np.repeat(first[places] - (ends - sizes), sizes)
+            source = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(first[own] - (ends - sizes), sizes)
             ids.append(np.concatenate([flat[source], tail]).astype(np.int32))
             decoded.append(library.decode(ids[-1].tolist()))
-        lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, ids)]), pa.int32()), pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32)))
-        return pa.table([texts.column("doc_id"), lists, pa.array(decoded, pa.string())], ["doc_id", "ids", "decoded"])
+        lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, ids)]), pa.int32()), pa.array(np.concatenate([*ids, np.zeros(0, np.int32)])))
+        return pa.table([rows.column("doc_id").take(pa.array(of_docs)), lists, pa.array(decoded, pa.string())], ["doc_id", "ids", "decoded"])
 
-    texts = cut.where("row >= 0").select("block", "doc_id", "places")
-    return texts.groupBy("block").cogroup(table.groupBy("of")).applyInArrow(of_block, "doc_id long, ids array<int>, decoded string")
+    return cut.groupBy("block").cogroup(known.groupBy("of")).applyInArrow(of_block, "doc_id long, ids array<int>, decoded string")
