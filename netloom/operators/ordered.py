@@ -5,6 +5,10 @@ cut into blocks of 2**block_bits numbers; since it numbers the events, a
 (key, block) pair has at most that many rows whatever the skew. Windows run inside
 the blocks, each block is summed up to one row by a partial aggregate, and what
 earlier blocks leave behind is carried over those few summary rows.
+
+Where the numbers have gaps, a block of numbers may hold a single event, and a key would have
+as many summary rows as events. ``dense`` then takes the events' ranks as block numbers: one
+sort over all tasks more, and every block of a key but its last is full.
 """
 
 from __future__ import annotations
@@ -56,13 +60,19 @@ def running_values(
     include_current: bool = False,
     tie: Column | None = None,
     block_bits: int = BLOCK_BITS,
+    dense: bool = False,
 ) -> DataFrame:
     """Adds, per key, the first / last non-NULL value of expressions before each row.
 
     ``include_current`` takes the row itself in. ``tie`` orders rows of equal number.
+    ``dense`` is for orders that do not number the events: any sortable column, with gaps.
     """
     firsts, lasts = firsts or {}, lasts or {}
-    names = [*firsts, *lasts]
+    names, columns = [*firsts, *lasts], df.columns
+    if dense:
+        df = df.withColumn("_tie", tie if tie is not None else F.lit(0))
+        df = dense_numbers(df, keys, [order, "_tie"], "_number")
+        order, tie = "_number", None
     rows = df.withColumn("_blk", F.shiftright(F.col(order), block_bits)).withColumns(
         {f"_v_{n}": c for n, c in {**firsts, **lasts}.items()}
     )
@@ -93,19 +103,20 @@ def running_values(
         .select(*keys, "_blk", *[f"_c_{n}" for n in names])
     )
     return inside.join(carry, [*keys, "_blk"], "left").select(
-        *df.columns,
+        *columns,
         *[F.coalesce(f"_c_{n}", f"_in_{n}").alias(n) for n in firsts],
         *[F.coalesce(f"_in_{n}", f"_c_{n}").alias(n) for n in lasts],
     )
 
 
 def asof_number(
-    left: DataFrame, right: DataFrame, keys: list[str], order: str, name: str, block_bits: int = BLOCK_BITS
+    left: DataFrame, right: DataFrame, keys: list[str], order: str, name: str, block_bits: int = BLOCK_BITS,
+    dense: bool = False,
 ) -> DataFrame:
     """``left`` plus ``name``: the number of the latest ``right`` row of the key before it.
 
     NULL where there is none, also for a NULL key. Left rows come out once each. Only
-    keys and numbers of the right side are moved.
+    keys and numbers of the right side are moved. ``dense`` as in ``running_values``.
     """
     row = F.struct(*left.columns)
     empty = F.lit(None).cast(left.select(row.alias("s")).schema["s"].dataType)
@@ -113,18 +124,19 @@ def asof_number(
         right.dropna(subset=keys).select(*keys, order, empty.alias("_l"), F.col(order).cast("bigint").alias("_r"))
     )
     known = running_values(
-        events, keys, order, lasts={name: F.col("_r")}, tie=F.col("_l").isNull(), block_bits=block_bits
+        events, keys, order, lasts={name: F.col("_r")}, tie=F.col("_l").isNull(), block_bits=block_bits, dense=dense
     )
     return known.where("_l is not null").select("_l.*", name)
 
 
 def asof_join(
-    left: DataFrame, right: DataFrame, keys: list[str], order: str, name: str, block_bits: int = BLOCK_BITS
+    left: DataFrame, right: DataFrame, keys: list[str], order: str, name: str, block_bits: int = BLOCK_BITS,
+    dense: bool = False,
 ) -> DataFrame:
     """``left`` plus struct ``name``: the latest ``right`` row of the key before it.
 
     ``order`` is unique on the right side. NULL as in ``asof_number``.
     """
-    matched = asof_number(left, right, keys, order, "_match", block_bits)
+    matched = asof_number(left, right, keys, order, "_match", block_bits, dense)
     rows = right.select(F.col(order).alias("_match"), F.struct("*").alias(name))
     return matched.join(rows, "_match", "left").drop("_match")

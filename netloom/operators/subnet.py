@@ -10,12 +10,13 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from netloom.functions.ip import (
-    Cidr, cidr_list, cidr_prefixes, colon_in_cidrs, in_cidrs, lookup_prefixes, quad_in_cidrs,
+    Cidr, cidr_columns, cidr_list, cidr_prefixes, colon_in_cidrs, in_cidrs, ip_family, ip_hex, lookup_prefixes, quad_in_cidrs,
 )
+from netloom.operators.ordered import BLOCK_BITS, dense_numbers, running_values
 from netloom.schemas import ADDRESS_COLUMNS, ADDRESS_SET_COLUMNS
 
 Cidrs = str | list[str]
@@ -70,36 +71,56 @@ def exclude_subnets(df: DataFrame, cidrs: Cidrs, strict: bool = True) -> DataFra
     return df.where(~touches(df.columns, nets))
 
 
-def values_in_table(values: DataFrame, addresses: Column, table: DataFrame, cidr_col: str) -> DataFrame:
-    """The distinct ``values`` of which one of ``addresses`` (an array) lies in a subnet.
+def disjoint_ranges(table: DataFrame, cidr_col: str, block_bits: int = BLOCK_BITS) -> DataFrame:
+    """``family, lo, hi``: the addresses of all subnets of a table as ranges that do not overlap.
 
-    An address is looked up by its prefixes of the lengths that occur in the table: an
-    equi-join on text, never a comparison of every address with every subnet. The
-    lengths are at most 33 numbers for each of the two families.
+    Subnets are nested or apart, so the ranges are the subnets that no other one holds. In
+    the order of their first addresses a subnet is held by another exactly if the last one that
+    is not held reaches its end, which is a running maximum over all subnets of the family.
     """
-    prefixes = table.select(F.explode_outer(cidr_prefixes(cidr_col)).alias("_prefix")).distinct()
-    lengths = [r[0] for r in prefixes.select(F.length("_prefix").alias("n")).distinct().where("n > 0").collect()]
-    if not lengths:
-        return values.limit(0)
-    own = F.flatten(F.transform(addresses, lambda a: lookup_prefixes(a, lengths)))
-    return (
-        values.withColumn("_prefix", F.explode_outer(own))
-        .join(prefixes, "_prefix", "left_semi")
-        .drop("_prefix")
-        .distinct()
+    found = cidr_columns(table.select(cidr_col), cidr_col).where("valid").groupBy("family", "lo").agg(F.max("hi").alias("hi"))
+    numbered = dense_numbers(found, ["family"], ["lo"], "_n")
+    # As in running_values: a maximum inside blocks of numbers, then one over the blocks.
+    within = Window.partitionBy("family", F.shiftright("_n", block_bits)).orderBy("_n").rowsBetween(Window.unboundedPreceding, -1)
+    inside = numbered.withColumns({"_blk": F.shiftright("_n", block_bits), "_before": F.max("hi").over(within)})
+    blocks = inside.groupBy("family", "_blk").agg(F.max("hi").alias("_top"))
+    earlier = Window.partitionBy("family").orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
+    carried = blocks.withColumn("_carried", F.max("_top").over(earlier)).select("family", "_blk", "_carried")
+    reach = F.greatest("_before", "_carried")
+    return inside.join(carried, ["family", "_blk"]).where(reach.isNull() | (reach < F.col("hi"))).select("family", "lo", "hi")
+
+
+def addresses_in_ranges(addresses: DataFrame, ranges: DataFrame, block_bits: int = BLOCK_BITS) -> DataFrame:
+    """The ``address`` texts of a one-column DataFrame that lie in one of ``disjoint_ranges``.
+
+    Addresses and range starts are put in one order; the latest start at or before an
+    address is the only range that can hold it.
+    """
+    key = ip_hex("address")
+    asked = addresses.select(key.alias("lo"), "address").where("lo is not null")
+    none = F.lit(None).cast("string")
+    events = (
+        asked.select(ip_family("lo").alias("family"), "lo", F.lit(1).alias("kind"), "address", none.alias("hi"))
+        .unionByName(ranges.select("family", "lo", F.lit(0).alias("kind"), none.alias("address"), "hi"))
     )
+    known = running_values(events, ["family"], "lo", lasts={"reach": F.col("hi")}, tie=F.col("kind"), block_bits=block_bits, dense=True)
+    return known.where("kind = 1 and lo <= reach").select("address")
 
 
-def exclude_by_table(df: DataFrame, table: DataFrame, cidr_col: str, strict: bool = True) -> DataFrame:
+def exclude_by_table(
+    df: DataFrame, table: DataFrame, cidr_col: str, strict: bool = True, block_bits: int = BLOCK_BITS
+) -> DataFrame:
     """``exclude_subnets`` for a table of subnets of any size.
 
     ``strict`` stops the job at an entry that is no subnet (NULL and blank ones apart);
     otherwise such entries are left out and filter nothing.
 
-    Only the distinct values of the address columns are tested (duplicates combine
-    before the shuffle, so a frequent address costs one row per task); the rows are
-    then anti-joined on the value. The anti join keeps a frequent value spread out:
-    AQE splits its partition on the row side.
+    The subnets are merged into disjoint ranges, and the distinct addresses of all address
+    columns looked up in them once. What is left out are the distinct combinations of a row's
+    address cells that hold one of those found, so the rows themselves are moved once, for one
+    anti join, however many address columns they have; AQE splits a combination that most
+    rows share on the row side. The ranges and the lookup write tables in the shared folder when
+    this is called.
     """
     if strict:
         entry = F.col(cidr_col)
@@ -107,17 +128,15 @@ def exclude_by_table(df: DataFrame, table: DataFrame, cidr_col: str, strict: boo
         table = table.withColumn(cidr_col, F.when(bad, F.raise_error(F.concat(F.lit("invalid CIDR entry: "), entry))).otherwise(entry))
     scalars = [c for c in ADDRESS_COLUMNS if c in df.columns]
     sets = [c for c in ADDRESS_SET_COLUMNS if c in df.columns]
-    result = df
-    if scalars:
-        values = df.select(F.explode(F.array(*scalars)).alias("_v")).distinct()
-        inside = values_in_table(values, F.array("_v"), table, cidr_col)
-        for c in scalars:
-            result = result.join(inside.withColumnRenamed("_v", c), c, "left_anti")
-    for c in sets:
-        values = df.select(F.col(c).alias("_v")).distinct()
-        inside = values_in_table(values, F.col("_v"), table, cidr_col)
-        result = result.join(inside.withColumnRenamed("_v", c), c, "left_anti")
-    return result.select(*df.columns)
+    if not scalars + sets:
+        return df
+    cells = F.struct(*scalars, *sets)
+    own = F.concat(F.array(*scalars).cast("array<string>"), *[F.coalesce(c, F.array().cast("array<string>")) for c in sets])
+    held = df.select(cells.alias("_cells"), F.array_distinct(own).alias("_own")).distinct()
+    held = held.select("_cells", F.explode("_own").alias("address")).where("address is not null")
+    inside = addresses_in_ranges(held.select("address").distinct(), disjoint_ranges(table, cidr_col, block_bits), block_bits)
+    lost = held.join(inside, "address", "left_semi").select("_cells").distinct()
+    return df.withColumn("_cells", cells).join(lost, "_cells", "left_anti").select(*df.columns)
 
 
 def exclude_from_logs(logs: dict[str, DataFrame], cidrs: Cidrs) -> dict[str, DataFrame]:

@@ -72,8 +72,11 @@ def hello_rows(client_hello: DataFrame) -> DataFrame:
     )
 
 
-def states_after_hello(client_hello: DataFrame, block_bits: int = BLOCK_BITS) -> DataFrame:
-    """For every client hello the state of its uid right after it."""
+def states_after_hello(client_hello: DataFrame, block_bits: int = BLOCK_BITS, dense: bool = False) -> DataFrame:
+    """For every client hello the state of its uid right after it.
+
+    ``dense`` is for feeds whose ``seq`` has gaps (clock readings, say), here and below.
+    """
     hellos = described_hellos(client_hello)
     known = running_values(
         hellos.withColumn("_id", F.struct(*_ID)).drop("ts", "orig_h", "orig_p", "resp_h", "resp_p"),
@@ -83,6 +86,7 @@ def states_after_hello(client_hello: DataFrame, block_bits: int = BLOCK_BITS) ->
         lasts={"last_ja3": F.col("ja3"), "last_server_name": F.col("server_name")},
         include_current=True,
         block_bits=block_bits,
+        dense=dense,
     )
     return known.select(
         "seq",
@@ -113,7 +117,9 @@ def latest_states(client_hello: DataFrame) -> DataFrame:
     )
 
 
-def header_matches(http_header: DataFrame, client_hello: DataFrame, block_bits: int = BLOCK_BITS) -> DataFrame:
+def header_matches(
+    http_header: DataFrame, client_hello: DataFrame, block_bits: int = BLOCK_BITS, dense: bool = False
+) -> DataFrame:
     """Originator USER-AGENT headers with struct ``state``, NULL if none is known.
 
     The states are looked up twice and the headers split by outcome, so both are kept
@@ -123,17 +129,19 @@ def header_matches(http_header: DataFrame, client_hello: DataFrame, block_bits:
     headers = http_header.where("name = 'USER-AGENT' and is_orig").select(
         "seq", "uid", "orig_h", "orig_p", F.coalesce("value", F.lit("")).alias("value")
     )
-    states = cut_lineage(states_after_hello(client_hello, block_bits))
-    by_uid = cut_lineage(asof_number(headers, states, ["uid"], "seq", "_match", block_bits))
+    states = cut_lineage(states_after_hello(client_hello, block_bits, dense))
+    by_uid = cut_lineage(asof_number(headers, states, ["uid"], "seq", "_match", block_bits, dense))
     unmatched = by_uid.where("_match is null").drop("_match")
-    by_origin = asof_number(unmatched, states, ["orig_h", "orig_p"], "seq", "_match", block_bits)
+    by_origin = asof_number(unmatched, states, ["orig_h", "orig_p"], "seq", "_match", block_bits, dense)
     rows = states.select(F.col("seq").alias("_match"), F.struct("*").alias("state"))
     return by_uid.where("_match is not null").unionByName(by_origin).join(rows, "_match", "left").drop("_match")
 
 
-def header_rows(http_header: DataFrame, client_hello: DataFrame, block_bits: int = BLOCK_BITS) -> DataFrame:
+def header_rows(
+    http_header: DataFrame, client_hello: DataFrame, block_bits: int = BLOCK_BITS, dense: bool = False
+) -> DataFrame:
     """Rows written on matched headers; the vectors may be empty here."""
-    matched = header_matches(http_header, client_hello, block_bits).where("state is not null")
+    matched = header_matches(http_header, client_hello, block_bits, dense).where("state is not null")
     return (
         matched.select("state.*", F.col("value").alias("user_agent"))
         .withColumn("ja3_hash", F.md5("ja3"))
@@ -145,9 +153,11 @@ def header_rows(http_header: DataFrame, client_hello: DataFrame, block_bits: int
     )
 
 
-def client_fingerprints(client_hello: DataFrame, http_header: DataFrame, block_bits: int = BLOCK_BITS) -> DataFrame:
+def client_fingerprints(
+    client_hello: DataFrame, http_header: DataFrame, block_bits: int = BLOCK_BITS, dense: bool = False
+) -> DataFrame:
     """The ja3_ja4 log."""
-    return hello_rows(client_hello).unionByName(header_rows(http_header, client_hello, block_bits))
+    return hello_rows(client_hello).unionByName(header_rows(http_header, client_hello, block_bits, dense))
 
 
 def server_extension_lists(tls_extension: DataFrame) -> DataFrame:

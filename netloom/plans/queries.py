@@ -6,6 +6,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,17 +14,19 @@ from pyspark.sql import functions as F
 from netloom.functions import ip, text
 from netloom.operators import dhcp, flows, inventory, payload, report, retention, sampling, subnet, tls
 from netloom.operators.chunking import assign_chunks
+from netloom.operators.ordered import running_values
 from netloom.plans import views as v
-from netloom.plans.run import process_logs
+from netloom.plans.run import process_logs, publish_processed
 from netloom.schemas import TLS_EVENTS
 from netloom.session import scratch_path
 from netloom.sinks.captures import write_captures
-from netloom.sinks.tables import publish_runs, read_published
+from netloom.sinks.tables import publish_runs, read_published, read_reports
 from netloom.sinks.zeek_tsv import log_lines, write_lines
 from netloom.sources import zeek_tsv
 from netloom.sources.captures import dhcp_messages, read_packets, stable_between
 from netloom.sources.events import read_events
 from netloom.streaming import captures as captures_stream
+from netloom.streaming import flows as flows_stream
 from netloom.streaming import tls as tls_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -62,9 +65,6 @@ _DNS_HIT = (
     f"({_excluded_sql('orig_h')} OR {_excluded_sql('resp_h')} OR "
     f"len(list_filter(coalesce(split(answers, ','), []), lambda a: {_excluded_sql('a')})) > 0)"
 )
-_DHCP_HIT = "(" + " OR ".join(
-    _excluded_sql(c) for c in ("client_addr", "server_addr", "requested_addr", "assigned_addr")
-) + ")"
 
 
 # --- subnets -----------------------------------------------------------------
@@ -100,34 +100,6 @@ def f1_five_thousand_subnets(spark, folder):
     return subnet.exclude_subnets(v.conn(spark, folder), nets).select("uid", "resp_h")
 
 
-def _three_logs(spark, folder):
-    return {"conn": v.conn(spark, folder), "dns": v.dns(spark, folder), "dhcp": v.dhcp(spark, folder)}
-
-
-@query(
-    f"SELECT 'conn' AS log, count(*) AS total, count(*) FILTER (WHERE {_CONN_HIT}) AS dropped FROM {sql(v.CONN)} c"
-    f" UNION ALL SELECT 'dns', count(*), count(*) FILTER (WHERE {_DNS_HIT}) FROM {sql(v.DNS)} d"
-    f" UNION ALL SELECT 'dhcp', count(*), count(*) FILTER (WHERE {_DHCP_HIT}) FROM {sql(v.DHCP)} h"
-)
-def a3_dropped_by_log(spark, folder):
-    return subnet.dropped_report(_three_logs(spark, folder), EXCLUDED)
-
-
-@query(
-    f"SELECT log, run_id, count(*) AS kept FROM ("
-    f"SELECT 'conn' AS log, run_id FROM {sql(v.CONN)} c WHERE NOT {_CONN_HIT}"
-    f" UNION ALL SELECT 'dns', run_id FROM {sql(v.DNS)} d WHERE NOT {_DNS_HIT}"
-    f" UNION ALL SELECT 'dhcp', run_id FROM {sql(v.DHCP)} h WHERE NOT {_DHCP_HIT}) GROUP BY log, run_id"
-)
-def f3_all_logs_filtered(spark, folder):
-    logs = subnet.exclude_from_logs(_three_logs(spark, folder), EXCLUDED)
-    parts = [df.select(F.lit(name).alias("log"), "run_id") for name, df in logs.items()]
-    return (
-        parts[0].unionByName(parts[1]).unionByName(parts[2])
-        .groupBy("log", "run_id").agg(F.count("*").alias("kept"))
-    )
-
-
 # A subnet table with good and bad entries, derived from the customers.
 _CIDR_TABLE = """
 SELECT c_custkey, CASE c_custkey % 6
@@ -219,6 +191,32 @@ def j2_subnet_table_anti_join(spark, folder):
     return kept.select("uid", "orig_h", "resp_h")
 
 
+_DNS_RANGES = f"SELECT DISTINCT lo, hi FROM ({_CIDR_RANGES}) r"
+
+
+@query(
+    f"WITH ranges AS MATERIALIZED ({_DNS_RANGES}), dns AS MATERIALIZED (SELECT uid, orig_h, resp_h, split(coalesce(answers, ''), ',') AS a"
+    f" FROM {sql(v.DNS)} d), inside AS MATERIALIZED (SELECT DISTINCT a FROM (SELECT a, {_number('a')} AS n FROM (SELECT orig_h AS a FROM dns"
+    " UNION SELECT resp_h FROM dns UNION SELECT unnest(a) FROM dns) x) y JOIN ranges ON n >= lo AND n <= hi),"
+    " found AS MATERIALIZED (SELECT list(a) AS bad FROM inside)"
+    " SELECT uid, resp_h, CAST(len(a) AS INTEGER) AS answers FROM dns, found"
+    " WHERE NOT list_has_any([orig_h, resp_h] || a, coalesce(bad, []))"
+)
+def j2_subnet_table_and_answer_sets(spark, folder):
+    table = v.view(spark, folder, _CIDR_TABLE)
+    kept = subnet.exclude_by_table(v.dns(spark, folder), table, "cidr", strict=False)
+    return kept.select("uid", "resp_h", F.coalesce(F.size("answers"), F.lit(1)).alias("answers"))
+
+
+@query(
+    f"WITH r AS MATERIALIZED (SELECT DISTINCT lo, hi FROM ({_CIDR_RANGES}) q),"
+    " kept AS (SELECT * FROM r a WHERE NOT EXISTS (SELECT 1 FROM r b WHERE b.lo <= a.lo AND b.hi >= a.hi AND (b.lo < a.lo OR b.hi > a.hi)))"
+    " SELECT concat(repeat('0', 20), 'ffff', format('{:08x}', lo)) AS lo, concat(repeat('0', 20), 'ffff', format('{:08x}', hi)) AS hi FROM kept"
+)
+def j2_disjoint_ranges(spark, folder):
+    return subnet.disjoint_ranges(v.view(spark, folder, _CIDR_TABLE), "cidr").select("lo", "hi")
+
+
 # --- sampling ----------------------------------------------------------------
 
 
@@ -417,21 +415,22 @@ def a5_server_extension_lists(spark, folder):
     return lists.select("uid", F.array_join("server_extensions", "-").alias("codes"))
 
 
-_SERVER = f"""
-WITH hello AS MATERIALIZED (SELECT * FROM {sql(v.SERVER_HELLO)} s),
+_SERVER_CTES = f"""
+hello AS MATERIALIZED (SELECT * FROM {sql(v.SERVER_HELLO)} s),
 ext AS MATERIALIZED (SELECT uid AS euid, seq AS eseq, code FROM {sql(v.TLS_EXTENSION)} e WHERE NOT is_orig),
 seen AS MATERIALIZED (SELECT h.seq AS hseq, string_agg(CAST(code AS VARCHAR), '-' ORDER BY eseq) AS codes
   FROM hello h JOIN ext ON h.uid = euid AND eseq < h.seq GROUP BY h.seq),
 named AS (SELECT hello.*, coalesce(codes, '') AS codes FROM hello LEFT JOIN seen ON seq = hseq)
 """
-
-
-@query(
-    _SERVER + "SELECT conn_start AS ts, uid, orig_h, orig_p, resp_h, resp_p,"
+_P3 = (
+    "SELECT conn_start AS ts, uid, orig_h, orig_p, resp_h, resp_p,"
     " concat('t', version, '_', cipher, '_', codes) AS ja4s, md5(concat('t', version, '_', cipher, '_', codes)) AS ja4s_hash,"
     " CAST(version AS VARCHAR) AS server_version, CAST(cipher AS VARCHAR) AS server_cipher, codes AS server_extensions,"
     " coalesce(server_name, 'Unknown') AS server_name FROM named"
 )
+
+
+@query(f"WITH {_SERVER_CTES} {_P3}")
 def p3_ja4s_log(spark, folder):
     rows = tls.server_fingerprints(v.server_hello(spark, folder), v.tls_extension(spark, folder))
     return _flat_text(rows, ("server_extensions",), ())
@@ -446,6 +445,40 @@ def c5_ja3_counts(spark, folder):
     return hellos.groupBy("ja3").agg(F.count("*").alias("hellos"), F.count_distinct("uid").alias("connections"))
 
 
+# Clock readings instead of event numbers: the numbers spread over 2^62, and all events have one origin.
+_SPREAD = 40_000_000_000_000
+
+
+def _spread(events: DataFrame) -> DataFrame:
+    one = {"orig_h": F.lit("10.0.0.1"), "orig_p": F.lit(1)}
+    return events.withColumns({"seq": F.col("seq") * F.lit(_SPREAD), **{c: x for c, x in one.items() if c in events.columns}})
+
+
+@query(
+    f"WITH {_HELLOS}, ordered AS (SELECT hseq AS seq, NULL AS uid, 1 AS header FROM headers UNION ALL SELECT seq, uid, 0 FROM hellos)"
+    f" SELECT seq * {_SPREAD} AS seq, coalesce(uid, '-') AS matched_uid FROM (SELECT seq, header,"
+    " last_value(uid IGNORE NULLS) OVER (ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS uid FROM ordered) o WHERE header = 1"
+)
+def j3_sparse_numbers_one_origin(spark, folder):
+    headers = _spread(v.http_header(spark, folder)).withColumn("uid", F.concat(F.lit("other"), "seq"))
+    found = tls.header_matches(headers, _spread(v.client_hello(spark, folder)), dense=True)
+    return found.select("seq", F.coalesce("state.uid", F.lit("-")).alias("matched_uid"))
+
+
+@query(
+    f"WITH {_HELLOS} SELECT seq * {_SPREAD} AS seq, first_value(uid) OVER w AS uid, coalesce(last_value(ja3 IGNORE NULLS) OVER w, '-') AS ja3,"
+    " coalesce(last_value(server_name IGNORE NULLS) OVER w, '-') AS server_name FROM hellos WINDOW w AS (PARTITION BY seq % 2 ORDER BY seq)"
+)
+def w2_sparse_numbers_two_keys(spark, folder):
+    hellos = tls.described_hellos(_spread(v.client_hello(spark, folder)))
+    known = running_values(
+        hellos.withColumn("half", F.col("seq") / _SPREAD % 2), ["half"], "seq", firsts={"opener": F.col("uid")},
+        lasts={"last_ja3": F.col("ja3"), "name": F.col("server_name")}, include_current=True, dense=True,
+    )
+    none = F.lit("-")
+    return known.select("seq", F.col("opener").alias("uid"), F.coalesce("last_ja3", none).alias("ja3"), F.coalesce("name", none).alias("server_name"))
+
+
 # --- flows -------------------------------------------------------------------
 
 _ORDERED = f"""
@@ -544,12 +577,12 @@ def w3_greedy_chunks(spark, folder):
     return _chunk_stats(assign_chunks(lines, 20000, "head"))
 
 
-_ONE_RUN = f"(SELECT 'R' AS run_id, log, line_no, line FROM {sql(v.LOG_LINES)} x WHERE log <> 'ja4s')"
+_ONE_RUN = f"(SELECT 'R' AS run_id, log, line_no, line FROM {sql(v.LOG_LINES)} x)"
 
 
 @query(f"WITH {_chunk_sql(_ONE_RUN, '100', 4096)} {_CHUNK_STATS}")
 def w3_greedy_chunks_one_large_run(spark, folder):
-    lines = v.log_lines(spark, folder).where("log <> 'ja4s'").withColumn("run_id", F.lit("R"))
+    lines = v.log_lines(spark, folder).withColumn("run_id", F.lit("R"))
     return _chunk_stats(assign_chunks(lines.withColumn("head", F.lit(100)), 4096, "head"))
 
 
@@ -831,28 +864,103 @@ def a7_run_summary(spark, folder):
     )
 
 
-@query(
-    f"SELECT 'conn' AS log, uid AS id, '-' AS params FROM {_timed(v.CONN)} WHERE {_draw_sql('conn')} < 5000 AND NOT {_CONN_HIT}"
-    f" UNION ALL SELECT 'dns', uid, '-' FROM {_timed(v.DNS)} WHERE {_draw_sql('dns')} < 5000 AND NOT {_DNS_HIT}"
-    f" UNION ALL SELECT 'dhcp', h.mac, coalesce(h.param_req_list, f.fingerprint, '-') FROM {sql(v.DHCP)} h"
-    f" LEFT JOIN ({_FINGERPRINTS}) f ON h.run_id = f.run_id AND h.mac = f.mac WHERE NOT {_DHCP_HIT}"
-)
+# --- all five logs ------------------------------------------------------------
+
+# What the queries over all five logs leave out, told from the text of the views' addresses.
+EXCLUDED_FIVE = "10.0.0.0/12, 172.16.0.0/12, fd00::/8, 93.184.16.0/20"
+
+
+def _excluded_five(col: str) -> str:
+    return (
+        f"coalesce(regexp_matches({col}, '^10\\.([0-9]|1[0-5])\\.') OR regexp_matches({col}, '^172\\.(1[6-9]|2[0-9]|3[01])\\.')"
+        f" OR regexp_matches({col}, '^fd[0-9a-f]{{2}}:') OR regexp_matches({col}, '^93\\.184\\.(1[6-9]|2[0-9]|3[01])\\.'), false)"
+    )
+
+
+def _any_excluded(*cols: str) -> str:
+    return "(" + " OR ".join(map(_excluded_five, cols)) + ")"
+
+
+def _five_sql() -> str:
+    """All rows of the five logs as CTE ``five``: log, run_id, id, params, whether excluded, and the sampling draw."""
+    ends = _any_excluded("orig_h", "resp_h")
+    answers = f"len(list_filter(coalesce(split(answers, ','), []), lambda a: {_excluded_five('a')})) > 0"
+    month = "strftime(to_timestamp(ts) AT TIME ZONE 'UTC', '%Y-%m')"
+    return f"""
+WITH {_HELLOS}, {_SERVER_CTES}, five AS MATERIALIZED (
+  SELECT 'conn' AS log, run_id, uid AS id, '-' AS params, {ends} AS hit, {_draw_sql('conn')} AS draw FROM {_timed(v.CONN)}
+  UNION ALL SELECT 'dns', run_id, uid, '-', {ends} OR {answers}, {_draw_sql('dns')} FROM {_timed(v.DNS)}
+  UNION ALL SELECT 'dhcp', h.run_id, h.mac, coalesce(h.param_req_list, f.fingerprint, '-'),
+    {_any_excluded('client_addr', 'server_addr', 'requested_addr', 'assigned_addr')}, 0 FROM {sql(v.DHCP)} h
+    LEFT JOIN ({_FINGERPRINTS}) f ON h.run_id = f.run_id AND h.mac = f.mac
+  UNION ALL SELECT 'ja3_ja4', {month}, uid, '-', {ends}, 0 FROM ({_P1} UNION ALL {_P2}) j
+  UNION ALL SELECT 'ja4s', {month}, uid, '-', {ends}, 0 FROM ({_P3}) s)
+"""
+
+
+def _five_logs(spark, folder):
+    client = tls.client_fingerprints(v.client_hello(spark, folder), v.http_header(spark, folder))
+    server = tls.server_fingerprints(v.server_hello(spark, folder), v.tls_extension(spark, folder))
+    month = F.date_format("ts", "yyyy-MM").alias("run_id")
+    return {
+        "conn": v.conn(spark, folder), "dns": v.dns(spark, folder), "dhcp": v.dhcp(spark, folder),
+        "ja3_ja4": client.select(month, "*"), "ja4s": server.select(month, "*"),
+    }
+
+
+def _stacked(logs: dict[str, DataFrame], *columns: str | Column) -> DataFrame:
+    """The same columns of several logs, with the log's name."""
+    return reduce(DataFrame.unionByName, [df.select(F.lit(name).alias("log"), *columns) for name, df in logs.items()])
+
+
+_FIVE = _five_sql()
+
+
+@query(f"{_FIVE} SELECT log, count(*) AS total, count(*) FILTER (WHERE hit) AS dropped FROM five GROUP BY log")
+def a3_dropped_by_log(spark, folder):
+    return subnet.dropped_report(_five_logs(spark, folder), EXCLUDED_FIVE)
+
+
+@query(f"{_FIVE} SELECT log, run_id, count(*) AS kept FROM five WHERE NOT hit GROUP BY log, run_id")
+def f3_all_logs_filtered(spark, folder):
+    kept = subnet.exclude_from_logs(_five_logs(spark, folder), EXCLUDED_FIVE)
+    return _stacked(kept, "run_id").groupBy("log", "run_id").agg(F.count("*").alias("kept"))
+
+
+@query(f"{_FIVE} SELECT log, id, params FROM five WHERE draw < 5000 AND NOT hit")
 def t4_whole_run(spark, folder):
     prints = dhcp.dhcp_fingerprints(v.dhcp_messages(spark, folder))
-    logs = process_logs(_three_logs(spark, folder), prints, 50, EXCLUDED)
-    none = F.lit("-").alias("params")
-    return (
-        logs["conn"].select(F.lit("conn").alias("log"), F.col("uid").alias("id"), none)
-        .unionByName(logs["dns"].select(F.lit("dns").alias("log"), F.col("uid").alias("id"), none))
-        .unionByName(
-            logs["dhcp"].select(
-                F.lit("dhcp").alias("log"), F.col("mac").alias("id"),
-                F.coalesce("param_req_list", F.lit("-")).alias("params"),
-            )
-        )
+    logs = process_logs(_five_logs(spark, folder), prints, 50, EXCLUDED_FIVE)
+    client = logs.pop("dhcp")
+    params = F.coalesce("param_req_list", F.lit("-")).alias("params")
+    return _stacked(logs, F.col("uid").alias("id"), F.lit("-").alias("params")).unionByName(
+        _stacked({"dhcp": client}, F.col("mac").alias("id"), params)
     )
 
 
+@query(f"{_FIVE} SELECT log, run_id, count(*) AS n FROM five WHERE NOT hit GROUP BY log, run_id")
+def k2_published_tables(spark, folder):
+    base = scratch_path(spark, "published")
+    logs = process_logs(_five_logs(spark, folder), excluded_subnets=EXCLUDED_FIVE)
+    publish_runs(logs, base, "b1")
+    back = {name: read_published(spark, base, name, df.schema) for name, df in logs.items()}
+    return _stacked(back, "run_id").groupBy("log", "run_id").agg(F.count("*").alias("n"))
+
+
+@query(
+    f"{_FIVE} SELECT log, total, sampled, round(sampled * 100.0 / total, 1) AS pct, dropped, sampled - dropped AS published FROM ("
+    " SELECT log, count(*) AS total, count(*) FILTER (WHERE draw < 2500) AS sampled, count(*) FILTER (WHERE draw < 2500 AND hit) AS dropped"
+    " FROM five GROUP BY log) c"
+)
+def a2_a3_reports_of_the_publishing_pass(spark, folder):
+    """Tables and both reports of five logs from one pass over each."""
+    base, logs = scratch_path(spark, "published"), _five_logs(spark, folder)
+    publish_processed(logs, base, "b1", dhcp.dhcp_fingerprints(v.dhcp_messages(spark, folder)), 25, EXCLUDED_FIVE)
+    back = {name: read_published(spark, base, name, df.schema) for name, df in logs.items()}
+    rows = _stacked(back, "run_id").groupBy("log").agg(F.count("*").alias("published"))
+    return read_reports(spark, base).drop("batch").join(rows, "log", "left").fillna(0, ["published"])
+
+
 # --- files: logs and captures written from the tables and read back ----------
 
 
@@ -917,23 +1025,6 @@ def f7_comments_f8_short_rows_f16_columns_by_name(spark, folder):
     )
 
 
-@query(
-    f"SELECT 'conn' AS log, run_id, count(*) AS n FROM {sql(v.CONN)} c WHERE NOT {_CONN_HIT} GROUP BY run_id"
-    f" UNION ALL SELECT 'dns', run_id, count(*) FROM {sql(v.DNS)} d WHERE NOT {_DNS_HIT} GROUP BY run_id"
-    f" UNION ALL SELECT 'dhcp', run_id, count(*) FROM {sql(v.DHCP)} h WHERE NOT {_DHCP_HIT} GROUP BY run_id"
-)
-def k2_published_tables(spark, folder):
-    base = scratch_path(spark, "published")
-    logs = process_logs(_three_logs(spark, folder), excluded_subnets=EXCLUDED)
-    publish_runs(logs, base, "b1")
-    parts = [
-        read_published(spark, base, name, df.schema).groupBy("run_id").agg(F.count("*").alias("n"))
-        .select(F.lit(name).alias("log"), "run_id", "n")
-        for name, df in logs.items()
-    ]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
-
-
 @query("SELECT concat('/in/', doc_id, '.pcap') AS path, n_chars AS length FROM documents WHERE doc_id % 3 <> 0 AND doc_id % 5 <> 0")
 def s5_stable_captures(spark, folder):
     """Two listings: every third file grew in between, every fifth is new."""
@@ -1073,3 +1164,95 @@ def t3_server_fingerprint_stream(spark, folder):
         _event_stream(spark, v.tls_extension(spark, folder), "tls_extension"),
     )
     return _flat_text(_run_stream(spark, stream, "server-fingerprints"), ("server_extensions",), ())
+
+
+# Packets come in three deliveries. Those of the half day before a boundary partly come with the next
+# delivery, within the lateness of a day; a few of the first days come with the last one, too late.
+_TOO_LATE = "ts < TIMESTAMP '2024-01-03 00:00:00' AND packet_no % 11 = 0"
+_DELIVERY = f"""
+CASE WHEN {_TOO_LATE} THEN 2
+  WHEN ts < TIMESTAMP '2024-01-11 00:00:00' THEN CASE WHEN ts >= TIMESTAMP '2024-01-10 12:00:00' AND packet_no % 5 = 0 THEN 1 ELSE 0 END
+  WHEN ts < TIMESTAMP '2024-01-21 00:00:00' THEN CASE WHEN ts >= TIMESTAMP '2024-01-20 12:00:00' AND packet_no % 5 = 0 THEN 2 ELSE 1 END
+  ELSE 2 END
+"""
+_IN_TIME = f"(SELECT *, epoch_us(ts) AS t FROM {sql(v.PACKETS)} p WHERE NOT ({_TOO_LATE}))"
+#: The watermark behind all deliveries, in microseconds; watermarks are whole milliseconds.
+_CLOSED = f"(SELECT max(epoch_us(ts)) // 1000 * 1000 - 86400000000 FROM {sql(v.PACKETS)} m)"
+
+
+def _delivered(spark: SparkSession, source: DataFrame, stream_of: Callable[[DataFrame], DataFrame], name: str, deliveries: int) -> DataFrame:
+    """What a stream gives when its source arrives as ``delivery`` 0, 1, ...; it stops and goes on in between."""
+    base = scratch_path(spark, name)
+    source.write.partitionBy("delivery").parquet(f"{base}/all")
+    rows = spark.read.schema(source.schema).parquet(f"{base}/all")
+    schema = source.drop("delivery").schema
+    for i in range(deliveries):
+        rows.where(F.col("delivery") == i).drop("delivery").write.mode("append").parquet(f"{base}/in")
+        result = stream_of(spark.readStream.schema(schema).parquet(f"{base}/in"))
+        started = (
+            result.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/checkpoint")
+            .trigger(availableNow=True).start()
+        )
+        started.awaitTermination()
+    return spark.read.schema(result.schema).parquet(f"{base}/out")
+
+
+def _delivered_packets(spark: SparkSession, folder: str) -> DataFrame:
+    return v.packets(spark, folder).withColumn("delivery", F.expr(_DELIVERY))
+
+
+@query(
+    "SELECT strftime(to_timestamp(w) AT TIME ZONE 'UTC', '%Y%m%dT%H%M%SZ') AS run_id, count(*) AS packets, CAST(sum(length) AS BIGINT) AS bytes"
+    f" FROM (SELECT t // 1000000 - t // 1000000 % 3600 AS w, length FROM {_IN_TIME} p) q"
+    f" WHERE (w + 3600) * 1000000 <= {_CLOSED} GROUP BY w"
+)
+def t1_capture_window_stream(spark, folder):
+    """Closed capture windows of a packet stream with late packets."""
+    windows = lambda packets: flows_stream.window_counts(packets, 3600, "1 day")
+    return _delivered(spark, _delivered_packets(spark, folder), windows, "window-stream", 3)
+
+
+@query(
+    f"""WITH p AS (SELECT *, least(concat(ip_src, ' ', sport), concat(ip_dst, ' ', dport)) AS a,
+      greatest(concat(ip_src, ' ', sport), concat(ip_dst, ' ', dport)) AS b FROM {_IN_TIME} o),
+    g AS (SELECT *, CASE WHEN t - lag(t) OVER w <= 21600000000 THEN 0 ELSE 1 END AS fresh FROM p
+      WINDOW w AS (PARTITION BY run_id, proto, a, b ORDER BY t, packet_no)),
+    f AS (SELECT *, sum(fresh) OVER (PARTITION BY run_id, proto, a, b ORDER BY t, packet_no) AS flow FROM g)
+    SELECT run_id, min(t) AS first_us, max(t) - min(t) AS duration_us, arg_min(ip_src, (t, packet_no)) AS orig_h,
+      arg_min(sport, (t, packet_no)) AS orig_p, arg_min(ip_dst, (t, packet_no)) AS resp_h,
+      arg_min(dport, (t, packet_no)) AS resp_p, CASE proto WHEN 6 THEN 'tcp' ELSE 'udp' END AS proto,
+      count(*) AS packets, CAST(sum(length) AS BIGINT) AS bytes
+    FROM f GROUP BY run_id, f.proto, a, b, flow HAVING max(t) + 21600000001 <= {_CLOSED}"""
+)
+def p6_flow_stream(spark, folder):
+    """Closed flows of a packet stream with late packets."""
+    flows_stream.merge_sessions_early(spark)
+    found = _delivered(spark, _delivered_packets(spark, folder), lambda p: flows_stream.flow_stream(p, 21600, "1 day"), "flow-stream", 3)
+    return found.select(
+        "run_id", F.unix_micros("ts").alias("first_us"), (F.col("duration") * 1000000).cast("bigint").alias("duration_us"),
+        "orig_h", "orig_p", "resp_h", "resp_p", "proto", "packets", "bytes",
+    )
+
+
+@query(ORACLES["p3_ja4s_log"])
+def t3_server_fingerprint_stream_join(spark, folder):
+    """Server fingerprints by a join of two streams; a last event far ahead moves the watermark past all others."""
+    events = {"server_hello": v.server_hello(spark, folder), "tls_extension": v.tls_extension(spark, folder)}
+    base = scratch_path(spark, "stream-join")
+    half = events["server_hello"].agg(F.expr("percentile_approx(seq, 0.5)")).first()[0]
+    for step in range(3):
+        for kind, df in events.items():
+            schema = TLS_EVENTS[kind]
+            if step == 2:
+                told = {"ts": F.to_timestamp(F.lit("2200-01-01 00:00:00")), "uid": F.lit("none"), "seq": F.lit(-1), "is_orig": F.lit(False)}
+                rows = spark.range(1).select(*[told.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in schema.fields])
+            else:
+                rows = df.withColumn("ts", F.timestamp_seconds("seq")).where(F.col("seq") < half if step == 0 else F.col("seq") >= half)
+            rows.select(*schema.names).write.mode("append").parquet(f"{base}/{kind}")
+        joined = tls_stream.server_fingerprint_join(*(read_events(spark, f"{base}/{kind}", kind, stream=True) for kind in events))
+        started = (
+            joined.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/checkpoint")
+            .trigger(availableNow=True).start()
+        )
+        started.awaitTermination()
+    return _flat_text(spark.read.schema(joined.schema).parquet(f"{base}/out"), ("server_extensions",), ())

@@ -208,3 +208,34 @@ def server_fingerprint_stream(server_hello: DataFrame, tls_extension: DataFrame,
         rows.withColumn("ts", F.timestamp_micros("ts")).withColumn("ja4s", text).withColumn("ja4s_hash", F.md5("ja4s"))
         .select(*JA4S_COLUMNS)
     )
+
+
+def server_fingerprint_join(
+    server_hello: DataFrame, tls_extension: DataFrame, within: str = "10 minutes", lateness: str = "10 minutes"
+) -> DataFrame:
+    """The ja4s log by a join of the two streams, with Spark's own state only.
+
+    A hello takes the extensions of its uid that came before it (``seq``), at most ``within``
+    earlier (``ts``). Rows may come up to ``lateness`` behind the latest one of either stream. A hello is
+    given out, with extensions or without, once the watermark is past it; what is
+    older than ``within`` leaves the state, so no idle time has to be guessed.
+    """
+    hello = server_hello.select(
+        F.col("ts").alias("at"), "seq", "uid", "conn_start", "orig_h", "orig_p", "resp_h", "resp_p", "version", "cipher", "server_name"
+    ).withWatermark("at", lateness)
+    known = [c for c in hello.columns]
+    sent = tls_extension.where("not is_orig").select(
+        F.col("ts").alias("_ts"), F.col("uid").alias("_uid"), F.col("seq").alias("_seq"), F.col("code").cast("string").alias("_code")
+    ).withWatermark("_ts", lateness)
+    met = hello.join(
+        sent, F.expr(f"uid = _uid AND _seq < seq AND _ts <= at AND _ts >= at - INTERVAL {within}"), "leftOuter"
+    ).select(*known, F.when(F.col("_seq").isNotNull(), F.struct("_seq", "_code")).alias("_sent"))
+    lists = met.groupBy(*known).agg(F.array_sort(F.collect_list("_sent")).alias("_sent"))
+    version, cipher = F.col("version").cast("string"), F.col("cipher").cast("string")
+    codes = F.transform("_sent", lambda s: s["_code"])
+    text = ja4s(version, cipher, codes)
+    return lists.select(
+        F.col("conn_start").alias("ts"), "uid", "orig_h", "orig_p", "resp_h", "resp_p", text.alias("ja4s"), F.md5(text).alias("ja4s_hash"),
+        version.alias("server_version"), cipher.alias("server_cipher"), codes.alias("server_extensions"),
+        F.coalesce("server_name", F.lit("Unknown")).alias("server_name"),
+    )
