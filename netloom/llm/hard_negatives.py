@@ -17,6 +17,9 @@ Each pair of blocks gives its best few; the best of all pairs follow by rank. Ro
 vector are one entry of a block with their smallest ids, as many as any answer can need, so a vector that
 a third of all rows share is one entry too. The result is exact: no index, no recall to measure.
 
+How few are left depends on the vectors: segments of like components (signals, smoothed or sorted
+features) leave few, those of independent random components leave nearly all to the exact scores.
+
 The work of a task is one pair of blocks (``ANCHORS`` x ``BLOCK``), their number is that of
 anchors times rows over the block sizes: a stated query set against all rows.
 

@@ -33,8 +33,7 @@ from netloom.operators.ordered import dense_numbers
 WIDTH = 8
 #: Columns of a documents row that make its leaf.
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
-_SLOT = F.col("pos") % WIDTH
-_UP = F.floor(F.col("pos") / WIDTH)
+_SLOT, _UP = f"pos % {WIDTH}", f"pos div {WIDTH}"
 
 
 def digest(*parts: Column) -> Column:
@@ -64,9 +63,9 @@ def with_siblings(nodes: DataFrame) -> DataFrame:
     """
     shifted = (
         nodes.select("key", "n", "pos", "hash", F.explode(F.sequence(F.lit(1), F.lit(WIDTH - 1))).alias("offset"))
-        .withColumn("to", F.col("pos") - _SLOT + (_SLOT + F.col("offset")) % WIDTH)
+        .withColumn("to", F.expr(f"pos - {_SLOT} + ({_SLOT} + offset) % {WIDTH}"))
         .where("to < n")
-        .select("key", F.col("to").alias("pos"), F.struct(_SLOT.alias("slot"), "hash").alias("sibling"))
+        .select("key", F.col("to").alias("pos"), F.struct(F.expr(_SLOT).alias("slot"), "hash").alias("sibling"))
     )
     own = [c for c in nodes.columns if c not in ("key", "pos")]
     met = nodes.join(shifted, ["key", "pos"], "left").groupBy("key", "pos").agg(
@@ -76,8 +75,8 @@ def with_siblings(nodes: DataFrame) -> DataFrame:
     def joined(side: Column) -> Column:
         return F.unhex(F.array_join(F.transform(side, lambda s: F.hex(s["hash"])), ""))
 
-    before = F.filter("siblings", lambda s: s["slot"] < _SLOT)
-    after = F.filter("siblings", lambda s: s["slot"] > _SLOT)
+    before = F.filter("siblings", lambda s: s["slot"] < F.expr(_SLOT))
+    after = F.filter("siblings", lambda s: s["slot"] > F.expr(_SLOT))
     return met.select(*nodes.columns, joined(before).alias("left"), joined(after).alias("right"))
 
 
@@ -88,7 +87,7 @@ def climbed(leaves: DataFrame) -> tuple[list[DataFrame], list[DataFrame]]:
     while most > 1:
         level = written(with_siblings(nodes.where("n > 1")), "merkle-level")
         parent = digest(hex_text(F.col("hash")), hex_text(F.col("right"))).alias("hash")
-        nodes = level.where(_SLOT == 0).select("key", F.ceil(F.col("n") / WIDTH).alias("n"), _UP.alias("pos"), parent)
+        nodes = level.where(f"{_SLOT} = 0").select("key", F.ceil(F.col("n") / WIDTH).alias("n"), F.expr(_UP).alias("pos"), parent)
         levels.append(level)
         roots.append(nodes.where("n = 1"))
         most = math.ceil(most / WIDTH)
@@ -104,7 +103,7 @@ def descended(levels: list[DataFrame], roots: list[DataFrame], above: DataFrame)
         own = [c for c in roots[height].columns if c != "key"]
         found = roots[height].join(above, "key").select("key", *own, *carried)
         if height < len(levels):
-            met = levels[height].withColumn("up", _UP)
+            met = levels[height].withColumn("up", F.expr(_UP))
             over = parents.select("key", F.col("pos").alias("up"), *carried)
             joined = met.join(over, ["key", "up"]).withColumn("path", F.concat(step, "path"))
             found = found.unionByName(joined.select("key", *own, *carried))
@@ -112,9 +111,6 @@ def descended(levels: list[DataFrame], roots: list[DataFrame], above: DataFrame)
     return parents
 
 
-_NO_PATH = F.array().cast("array<struct<left: binary, right: binary>>").alias("path")
-
-
 def manifest(
     docs: DataFrame, group: str = "lang", row_id: str = "doc_id", fields: tuple[str, ...] = FIELDS, held: dict[str, Column] | None = None,
 ) -> DataFrame:
@@ -135,7 +131,8 @@ def manifest(
     subroots = written(_union([r.select("key", "hash") for r in roots]), "merkle-subroots")
     tops = dense_numbers(subroots.select(F.lit("").alias("all"), "key", "hash"), ["all"], ["key"], "pos", "n")
     top_levels, top_roots = climbed(tops.select(F.col("all").alias("key"), "n", "pos", "hash", F.col("key").alias("of")))
-    root = _union([r.select("key", F.col("hash").alias("root"), _NO_PATH) for r in top_roots])
+    no_path = F.array().cast("array<struct<left: binary, right: binary>>").alias("path")
+    root = _union([r.select("key", F.col("hash").alias("root"), no_path) for r in top_roots])
     above = descended(top_levels, top_roots, root).select(F.col("of").alias("key"), F.col("hash").alias("subroot"), "root", "path")
     found = descended(levels, roots, above)
     return found.select(F.col("id").alias(row_id), F.col("hash").alias("leaf"), F.col("held").alias("held_leaf"), "subroot", "root", "path")

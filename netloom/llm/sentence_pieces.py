@@ -32,6 +32,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -39,12 +40,13 @@ from pyspark.sql import functions as F
 from netloom.session import scratch_path
 
 MODEL = "piece_bpe_32k.model"
-#: Characters of a block of documents, and of the stretch of a text that is cut at once.
-BLOCK, STRETCH = 32_000_000, 1_000_000
+#: Characters of a block of documents.
+BLOCK = 32_000_000
 #: Entries of lists in a group of the distinct-chunk table.
 LISTED = 250_000
+#: Documents decoded at once.
+ROWS = 500
 MARKER = "▁"
-_CHUNK = re.compile(f"{MARKER}*[^{MARKER}]+|{MARKER}+")
 
 
 class Segmenter:
@@ -58,35 +60,27 @@ class Segmenter:
         if any(crossing.search(self.library.id_to_piece(i)) for i in range(self.library.get_piece_size())):
             raise ValueError("pieces of this model cross whitespace markers")
         self.prefixed = self.library.normalize("a") == f"{MARKER}a"
+        if not self.library.normalize("a b").endswith(f"a{MARKER}b"):
+            raise ValueError("this model does not mark spaces")
         self.end_id = self.library.eos_id()
 
-    def chunks(self, text: str):
-        """Lists of a text's chunks, in order; their concatenation is its normalised form."""
-        marked = self.library.normalize(text)
-        at = 0
-        while at < len(marked):
-            end = at + STRETCH
-            if end < len(marked):
-                # up to the last chunk that surely ends within the stretch
-                cut = marked.rfind(MARKER, at + 1, end)
-                while cut > at and marked[cut - 1] == MARKER:
-                    cut -= 1
-                if cut <= at:
-                    cut = marked.find(MARKER, end)
-                    while 0 < cut < len(marked) and marked[cut - 1] == MARKER:
-                        cut = marked.find(MARKER, cut + 1)
-                end = cut if cut > at else len(marked)
-            yield _CHUNK.findall(marked[at:end])
-            at = end
-
-    def ids(self, chunk: str) -> list[int]:
-        """The ids of one chunk, as they are within any text."""
-        alone = chunk[1:] if self.prefixed else chunk
-        if not alone:  # one marker at a text's end; the library gives an empty text no marker
-            return self.library.encode(f"a{chunk}", num_threads=1)[len(self.library.encode("a", num_threads=1)) :]
-        if self.library.normalize(alone) != chunk:
-            raise ValueError(f"the chunk {chunk[:80]!r} is not its own normalised form")
-        return self.library.encode(alone, num_threads=1)
+    def separated(self, text: str) -> str:
+        """A text's chunks with a space between them; its normalised form holds none."""
+        # A space in front of every marker, then none between markers.
+        apart = self.library.normalize(text).replace(MARKER, f" {MARKER}")
+        apart = apart.replace(f"{MARKER} {MARKER}", MARKER * 2).replace(f"{MARKER} {MARKER}", MARKER * 2)
+        return apart.removeprefix(" ")
+
+    def ids(self, chunks: list[str]) -> list[list[int]]:
+        """The ids of each chunk, as they are within any text."""
+        alone = [c[1:] if self.prefixed else c for c in chunks]
+        found = self.library.encode(alone, num_threads=1)
+        for i, (chunk, again) in enumerate(zip(chunks, self.library.normalize(alone), strict=True)):
+            if chunk == MARKER and not again:  # one marker at a text's end; the library gives an empty text no marker
+                found[i] = self.library.encode(f"a{chunk}", num_threads=1)[len(self.library.encode("a", num_threads=1)) :]
+            elif again != chunk:
+                raise ValueError(f"the chunk {chunk[:80]!r} is not its own normalised form")
+        return found
 
 
 def model_path(name: str = MODEL) -> str:
@@ -122,33 +116,31 @@ def blocks(docs: DataFrame, model: str = MODEL, block: int = BLOCK) -> DataFrame
     def run(batches):
         cut = segmenter(model)
         number = TaskContext.get().partitionId() << 32
-        known: dict[str, int] = {}
-        rows, size = [], 0
+        ids, texts, size = [], [], 0
         for batch in batches:
             for doc_id, text in zip(batch.column("doc_id"), batch.column("text"), strict=True):
                 text = text.as_py() or ""
-                if rows and size + len(text) > block:
-                    yield from of_block(number, rows, known)
-                    number, rows, known, size = number + 1, [], {}, 0
-                places = [
-                    np.fromiter((known.setdefault(c, len(known)) for c in part), np.uint32, len(part)) for part in cut.chunks(text)
-                ]
-                rows.append((doc_id.as_py(), np.concatenate(places) if places else np.zeros(0, np.uint32)))
+                if texts and size + len(text) > block:
+                    yield from of_block(number, ids, texts)
+                    number, ids, texts, size = number + 1, [], [], 0
+                ids.append(doc_id.as_py())
+                texts.append(cut.separated(text) or None)
                 size += len(text)
-        if rows:
-            yield from of_block(number, rows, known)
-
-    def of_block(number: int, rows: list[tuple], known: dict[str, int]):
-        chunks = list(known)
-        often = np.zeros(len(chunks), np.int64)
-        for _, places in rows:
-            often += np.bincount(places, minlength=len(chunks)).astype(np.int64) if len(chunks) else 0
-        order = np.argsort(-often, kind="stable")
+        if texts:
+            yield from of_block(number, ids, texts)
+
+    def of_block(number: int, ids: list, texts: list[str | None]):
+        lists = pc.split_pattern(pa.array(texts, pa.string()), " ")
+        ends = np.cumsum(pc.fill_null(lists.value_lengths(), 0).to_numpy())
+        coded = lists.flatten().dictionary_encode()
+        chunks, places = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False)
+        order = np.argsort(-np.bincount(places, minlength=len(chunks)), kind="stable")
         rank = np.empty(len(order), np.uint32)
         rank[order] = np.arange(len(order), dtype=np.uint32)
-        yield rows_of([(number, -1, None, len(chunks), None, " ".join(chunks[i] for i in order))])
-        for at in range(0, len(rows), 1000):
-            yield rows_of([(number, at + i, d, len(p), packed(rank[p]), None) for i, (d, p) in enumerate(rows[at : at + 1000])])
+        yield rows_of([(number, -1, None, len(chunks), None, " ".join(chunks.take(pa.array(order)).to_pylist()))])
+        parts = np.split(rank[places], ends[:-1])
+        for at in range(0, len(ids), 1000):
+            yield rows_of([(number, at + i, d, len(p), packed(p), None) for i, (d, p) in enumerate(zip(ids[at : at + 1000], parts[at : at + 1000], strict=True))])
 
     def rows_of(rows: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), _BLOCKS.values(), strict=True)], list(_BLOCKS))
@@ -192,14 +184,12 @@ def segmented(lists: DataFrame, model: str = MODEL) -> DataFrame:
     """The ids of every list's chunks; a chunk that many lists hold is segmented once."""
 
     def of_part(rows: pa.Table) -> pa.Table:
-        cut, known = segmenter(model), {}
+        lists = pc.split_pattern(rows.column("chunks").combine_chunks(), " ")
+        coded = lists.flatten().dictionary_encode()
+        known = [np.asarray(f, "<u4") for f in segmenter(model).ids(coded.dictionary.to_pylist())]
         sizes, ids = [], []
-        for joined in rows.column("chunks").to_pylist():
-            found = []
-            for chunk in joined.split(" "):
-                if chunk not in known:
-                    known[chunk] = np.asarray(cut.ids(chunk), "<u4")
-                found.append(known[chunk])
+        for places in np.split(coded.indices.to_numpy(zero_copy_only=False), np.cumsum(lists.value_lengths().to_numpy())[:-1]):
+            found = [known[i] for i in places]
             sizes.append(packed([len(f) for f in found]))
             ids.append(packed(np.concatenate(found)))
         return pa.table([rows.column("block"), rows.column("part"), pa.array(sizes, pa.binary()), pa.array(ids, pa.binary())], ["of", "part", "sizes", "ids"])
@@ -237,7 +227,8 @@ def encoded(docs: DataFrame, model: str = MODEL, end: bool = True, block: int =
             ends = np.cumsum(sizes)
             source = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(first[own] - (ends - sizes), sizes)
             ids.append(np.concatenate([flat[source], tail]).astype(np.int32))
-            decoded.append(library.decode(ids[-1].tolist()))
+        for at in range(0, len(ids), ROWS):
+            decoded += library.decode([i.tolist() for i in ids[at : at + ROWS]], num_threads=1)
         lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, ids)]), pa.int32()), pa.array(np.concatenate([*ids, np.zeros(0, np.int32)])))
         return pa.table([rows.column("doc_id").take(pa.array(of_docs)), lists, pa.array(decoded, pa.string())], ["doc_id", "ids", "decoded"])
 
