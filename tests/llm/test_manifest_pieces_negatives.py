@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 from collections import Counter
 
 import numpy as np
@@ -134,11 +135,15 @@ def test_pieces_in_small_blocks(spark, library):
     assert in_blocks(docs, block=500) == whole_texts(library, rows)
 
 
-@pytest.mark.parametrize("stretch", [1, 2, 7, 64])
-def test_a_long_text_is_cut_between_chunks(library, monkeypatch, stretch):
-    monkeypatch.setattr(sentence_pieces, "STRETCH", stretch)
-    for text in ("one two  three   four ", "x" * 100 + " y", "   ", "a" + " " * 90 + "b", "", " ".join("ab" for _ in range(90))):
-        assert [c for part in library.chunks(text) for c in part] == sentence_pieces._CHUNK.findall(library.library.normalize(text))
+def test_chunks_are_markers_and_the_word_behind_them(library):
+    for text in ("one two  three   four ", "x" * 100 + " y", "   ", "a" + " " * 90 + "b", "", "▁", " ".join("ab" for _ in range(90))):
+        marked = library.library.normalize(text)
+        assert [c for c in library.separated(text).split(" ") if c] == re.findall("▁*[^▁]+|▁+", marked)
+
+
+def test_packed_numbers():
+    for values in ([], [0], [1, 2, 255, 256, 1 << 31], list(range(1000))):
+        assert sentence_pieces.unpacked(sentence_pieces.packed(values)).tolist() == values
 
 
 def test_pieces_of_nothing_and_without_an_end(spark, nothing, edge, library):
@@ -234,7 +239,9 @@ def test_negatives_of_nothing(spark):
 
 
 def test_summaries_bound_every_score_and_leave_few(spark):
-    rows = np.array([r[2] for r in clustered(500, 64, 5)], np.int64)
+    # Neighbouring components alike, as in signals; summaries of independent ones bound the scores too, but leave all.
+    rows = np.repeat(np.array([r[2] for r in clustered(500, 16, 5)], np.int64), 4, axis=1)
+    rows += np.random.default_rng(2).integers(-2, 3, rows.shape)
     a, b = hard_negatives.Entries(rows[:50]), hard_negatives.Entries(rows)
     exact, widths = rows[:50] @ rows.T, []
     for level in range(len(hard_negatives.LEVELS)):
