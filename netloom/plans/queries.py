@@ -14,17 +14,19 @@ from pyspark.sql import functions as F
 from netloom.functions import ip, text
 from netloom.operators import dhcp, flows, inventory, payload, report, retention, sampling, subnet, tls
 from netloom.operators.chunking import assign_chunks
-from netloom.operators.ordered import running_values
+from netloom.operators.ordered import dense_numbers, running_values
 from netloom.plans import views as v
-from netloom.plans.run import process_logs, publish_processed
-from netloom.schemas import TLS_EVENTS
+from netloom.plans.run import process_logs, publish_processed, run_folders
+from netloom.schemas import LOG_NAMES, TLS_EVENTS
 from netloom.session import scratch_path
 from netloom.sinks.captures import write_captures
-from netloom.sinks.tables import publish_runs, read_published, read_reports
-from netloom.sinks.zeek_tsv import log_lines, write_lines
+from netloom.sinks.tables import expire_runs, in_key_ranges, publish_runs, read_published, read_reports, with_address_keys
+from netloom.sinks.zeek_tsv import format_lines, header_block, log_lines, write_lines
 from netloom.sources import zeek_tsv
-from netloom.sources.captures import dhcp_messages, read_packets, stable_between
+from netloom.sources.backlog import backlog_entries, read_backlog, save_backlog
+from netloom.sources.captures import dhcp_messages, oldest_first, read_packets, stable_between
 from netloom.sources.events import read_events
+from netloom.sources.zeek_tsv import read_run
 from netloom.streaming import captures as captures_stream
 from netloom.streaming import flows as flows_stream
 from netloom.streaming import tls as tls_stream
@@ -961,6 +963,161 @@ def a2_a3_reports_of_the_publishing_pass(spark, folder):
     return read_reports(spark, base).drop("batch").join(rows, "log", "left").fillna(0, ["published"])
 
 
+@query(f"{_FIVE} SELECT log, run_id, count(*) AS n FROM five WHERE NOT hit AND log <> 'dhcp' AND run_id >= '1995-06' GROUP BY log, run_id")
+def f12_expired_runs_removed(spark, folder):
+    """Two batches published, then the runs beyond retention removed from the tables."""
+    base, logs = scratch_path(spark, "expiring"), subnet.exclude_from_logs(_five_logs(spark, folder), EXCLUDED_FIVE)
+    del logs["dhcp"]  # its runs have no time
+    late = F.substring("run_id", 6, 2) >= "07"
+    for batch, half in (("early", ~late), ("late", late)):
+        publish_runs({name: df.where(half) for name, df in logs.items()}, base, batch)
+    tables = {name: df.schema for name, df in logs.items()}
+    runs = _stacked({name: read_published(spark, base, name, schema) for name, schema in tables.items()}, "run_id").select("run_id").distinct()
+    runs = runs.withColumn("run_ts", F.to_timestamp(F.concat("run_id", F.lit("-01"))))
+    report = retention.retention_report(runs, 24, now=F.expr("TIMESTAMP '1995-06-02 00:00:00'"))
+    expire_runs(spark, base, tables, report.where("expired"))
+    back = {name: read_published(spark, base, name, schema) for name, schema in tables.items()}
+    return _stacked(back, "run_id").groupBy("log", "run_id").agg(F.count("*").alias("n"))
+
+
+@query(
+    f"SELECT uid, orig_h, resp_h FROM {sql(v.CONN)} c WHERE regexp_matches(orig_h, '^203\\.(19|35)\\.') OR regexp_matches(orig_h, '^10\\.[4-7]\\.')"
+)
+def k2_published_by_address(spark, folder):
+    """A subnet looked up in a table whose files are sorted by address."""
+    base, conn = scratch_path(spark, "by-address"), v.conn(spark, folder)
+    publish_runs({"conn": conn}, base, "b1", by_address="orig_h")
+    rows = read_published(spark, base, "conn", with_address_keys(conn).schema)
+    return rows.where(in_key_ranges("orig_h_key", "203.19.0.0/16, 203.35.0.0/16, 10.4.0.0/14")).select("uid", "orig_h", "resp_h")
+
+
+# --- from log files to payloads -------------------------------------------------
+
+
+def _text_cell(col: str) -> str:
+    return f"CASE WHEN {col} IS NULL THEN '-' WHEN CAST({col} AS VARCHAR) = '' THEN '(empty)' ELSE CAST({col} AS VARCHAR) END"
+
+
+def _stamp_cell(micros: str) -> str:
+    return f"concat({micros} // 1000000, '.', lpad(CAST({micros} % 1000000 AS VARCHAR), 6, '0'))"
+
+
+def _log_text_sql() -> str:
+    """``run_id, log, line, hit`` of the five logs as text lines."""
+    tab = "chr(9)"
+    ends = ["orig_h", "orig_p", "resp_h", "resp_p"]
+    hit = _any_excluded("orig_h", "resp_h")
+    answers = f"len(list_filter(coalesce(split(answers, ','), []), lambda a: {_excluded_five('a')})) > 0"
+    month = "strftime(to_timestamp(ts) AT TIME ZONE 'UTC', '%Y-%m')"
+
+    def row(log: str, run: str, cells: list[str], hit: str, rows: str) -> str:
+        return f"SELECT {run} AS run_id, '{log}' AS log, concat_ws({tab}, {', '.join(cells)}) AS line, {hit} AS hit FROM {rows}"
+
+    plain = lambda names: [_text_cell(n) for n in names]
+    codes = lambda name: f"CASE WHEN {name} = '' THEN '(empty)' ELSE replace({name}, '-', ',') END"
+    dashed = lambda names: [f"CASE WHEN {n} = '' THEN '(empty)' ELSE {n} END" for n in names]
+    parts = [
+        row("conn", "run_id", [_stamp_cell("epoch_us(ts)"), "uid", *plain([*ends, "proto"])], hit, f"{sql(v.CONN)} c"),
+        row("dns", "run_id", [_stamp_cell("epoch_us(ts)"), "uid", *plain([*ends, "proto", "query", "qtype_name", "answers"])], f"{hit} OR {answers}", f"{sql(v.DNS)} d"),
+        row(
+            "dhcp", "h.run_id", ["'-'", "'-'", "h.mac", *plain(["client_addr", "server_addr", "requested_addr", "assigned_addr", "host_name"]), "'-'",
+                                "coalesce(h.param_req_list, f.fingerprint, '-')"],
+            _any_excluded("client_addr", "server_addr", "requested_addr", "assigned_addr"),
+            f"{sql(v.DHCP)} h LEFT JOIN ({_FINGERPRINTS}) f ON h.run_id = f.run_id AND h.mac = f.mac",
+        ),
+        row(
+            "ja3_ja4", month, [_stamp_cell("ts * 1000000"), "uid", *plain(ends), *dashed(["ja3", "ja3_hash", "ja4", "ja4_hash", "client_version"]), codes("cipher_suites"),
+                               codes("extensions"), *dashed(["server_name", "user_agent"])], hit, f"({_P1} UNION ALL {_P2}) j",
+        ),
+        row(
+            "ja4s", month, [_stamp_cell("ts * 1000000"), "uid", *plain(ends), *dashed(["ja4s", "ja4s_hash", "server_version", "server_cipher"]), codes("server_extensions"), "server_name"],
+            hit, f"({_P3}) s",
+        ),
+    ]
+    heads = " ".join("WHEN '{}' THEN '{}'".format(log, "\n".join(header_block(log))) for log in LOG_NAMES)
+    return f"""
+WITH {_HELLOS}, {_SERVER_CTES}, lines AS MATERIALIZED ({' UNION ALL '.join(parts)}),
+texts AS (SELECT run_id, log, concat(CASE log {heads} END, chr(10), string_agg(line, chr(10) ORDER BY encode(line)), chr(10)) AS text
+  FROM lines WHERE NOT hit GROUP BY run_id, log)
+SELECT concat('run_id=', run_id) AS run_id, """ + ", ".join(
+        f"md5({_PART.format(log=log)}) AS {key}" for key, log in payload.PARTS.items()
+    ) + " FROM texts GROUP BY run_id"
+
+
+def _log_folders(spark: SparkSession, folder: str, logs: dict[str, DataFrame]) -> str:
+    """Logs as text files in a folder per run, the lines in the order of their text."""
+    path = scratch_path(spark, "run-folders")
+    for name, df in logs.items():
+        rows = dense_numbers(df.withColumn("_line", format_lines(df, name)), ["run_id"], ["_line"], "_row")
+        lines = log_lines(rows.withColumn("_row", F.col("_row") + 1), name, "_row")
+        write_lines(lines, path, mode="append")
+    return path
+
+
+@query(_log_text_sql())
+def t4_run_folders_to_payloads(spark, folder):
+    """Five logs as files of many runs, filled, filtered, published and packed."""
+    path = _log_folders(spark, folder, _five_logs(spark, folder))
+    prints = dhcp.dhcp_fingerprints(v.dhcp_messages(spark, folder)).withColumn("run_id", F.concat(F.lit("run_id="), "run_id"))
+    packed = run_folders(
+        spark, f"{path}/run_id=*", scratch_path(spark, "runs-out"), "b1", prints, excluded_subnets=EXCLUDED_FIVE, file="log={log}", parts=True
+    )
+    parts = payload.unpack(packed)
+    return parts.select("run_id", *[F.md5(key).alias(key) for key in payload.PARTS])
+
+
+@query(
+    f"SELECT 'conn' AS log, concat('run_id=', run_id) AS run_id, count(*) AS n, count(DISTINCT uid) AS uids FROM {sql(v.CONN)} c GROUP BY run_id"
+    f" UNION ALL SELECT 'dns', concat('run_id=', run_id), count(*), count(DISTINCT uid) FROM {sql(v.DNS)} d GROUP BY run_id"
+)
+def s3_run_with_missing_logs(spark, folder):
+    """All five logs of run folders of which three are not there."""
+    path = _log_folders(spark, folder, {"conn": v.conn(spark, folder), "dns": v.dns(spark, folder)})
+    logs = read_run(spark, f"{path}/run_id=*", file="log={log}", parts=True)
+    del logs["dhcp"]  # has no uid
+    return _stacked(logs, "run_id", "uid").groupBy("log", "run_id").agg(F.count("*").alias("n"), F.count_distinct("uid").alias("uids"))
+
+
+@query("SELECT concat('/in/', o_orderkey, '.pcap') AS path FROM orders ORDER BY o_orderdate, path LIMIT 250")
+def o2_oldest_captures(spark, folder):
+    """The next captures to take from a listing."""
+    listing = v.table(spark, folder, "orders").select(
+        F.concat(F.lit("/in/"), "o_orderkey", F.lit(".pcap")).alias("path"), F.col("o_orderdate").cast("timestamp").alias("modificationTime")
+    )
+    return oldest_first(listing).limit(250).select("path")
+
+
+@query(
+    f"SELECT concat('buf_', strftime(created_at, '%Y%m%dT%H%M%SZ'), '_', epoch_us(created_at) * 1000, '.bin') AS name, count(*) AS waiting,"
+    f" CAST(sum(count(*)) OVER (ORDER BY created_at) AS BIGINT) AS sent_by_then FROM {sql(_BACKLOG)} b"
+    f" WHERE NOT (created_at + INTERVAL 1000 DAY < {_NOW}) GROUP BY created_at"
+)
+def s8_backlog_sent_in_name_order(spark, folder):
+    """The stored backlog read in order, what has expired left out."""
+    path = scratch_path(spark, "backlog")
+    entries = v.view(spark, folder, _BACKLOG).select(F.col("created_at").cast("timestamp").alias("created_at"), F.col("o_orderkey").cast("string").cast("binary").alias("payload"))
+    save_backlog(backlog_entries(entries), path)
+    due = retention.backlog_due(read_backlog(spark, path), 1000 * 86400, F.expr(_NOW))
+    numbered = dense_numbers(due.select("name", "created_at"), [], ["name"], "place")
+    return numbered.groupBy("name").agg(F.count("*").alias("waiting"), (F.max("place") + 1).alias("sent_by_then"))
+
+
+@query(
+    f"SELECT p.run_id, p.sensor_id, n.n_name AS network_id, coalesce(m.mac, '-') AS mac, 'key' AS api_key FROM"
+    f" (SELECT DISTINCT run_id, concat('sensor', ascii(substr(run_id, 2, 1)) % 25) AS sensor_id FROM {sql(v.LOG_LINES)} l) p"
+    f" JOIN nation n ON p.sensor_id = concat('sensor', n_nationkey) LEFT JOIN (SELECT sensor_id, sha256(coalesce(mac, 'unknown-device')) AS mac FROM"
+    f" (SELECT s.sensor_id, m.mac FROM {sql(_SENSORS)} s LEFT JOIN ({_PRIMARY}) m ON s.sensor_id = m.sensor_id) x) m ON p.sensor_id = m.sensor_id"
+)
+def k4_payloads_with_metadata(spark, folder):
+    lines = v.log_lines(spark, folder)
+    payloads = payload.build_payloads(lines, block=False).withColumn("sensor_id", F.concat(F.lit("sensor"), F.ascii(F.substring("run_id", 2, 1)) % 25))
+    known = inventory.sensor_metadata(v.view(spark, folder, _SENSORS), v.inventory(spark, folder))
+    told = payload.attach_metadata(payloads, known, "key")
+    return told.select(
+        "run_id", "sensor_id", F.col("metadata")["network_id"].alias("network_id"), F.coalesce(F.col("metadata")["machine_id"], F.lit("-")).alias("mac"), "api_key"
+    ).distinct()
+
+
 # --- files: logs and captures written from the tables and read back ----------
 
 
@@ -1067,17 +1224,34 @@ def s6_captures_decoded(spark, folder):
     )
 
 
-def _event_captures(spark: SparkSession, folder: str) -> str:
-    """Capture files of the packets view, 4,096 packets each."""
+def _event_captures(spark: SparkSession, folder: str, size: int = _CAPTURED, damaged: str = "false") -> str:
+    """Capture files of the packets view, ``size`` packets each; behind the last packet of the ``damaged`` ones a record that can't be."""
     path = scratch_path(spark, "captures")
-    packets = v.packets(spark, folder)
+    packets = v.packets(spark, folder).withColumn("part", F.floor(F.col("packet_no") / size))
     body = F.repeat(F.lit("00"), (F.col("packet_no") % 100 + 20).cast("int"))
     frame = _frame(*[F.col(c) for c in ("ip_src", "ip_dst", "proto", "sport", "dport")], body)
-    name = F.concat(F.lit("cap"), F.floor(F.col("packet_no") / _CAPTURED), F.lit(".pcap"))
-    write_captures(packets.select(name.alias("file"), "packet_no", "ts", frame.alias("frame")), path)
+    name = F.concat(F.lit("cap"), "part", F.lit(".pcap"))
+    for chosen, trailer in ((f"not ({damaged})", b""), (damaged, bytes(8) + b"\xff" * 8 + b"lost")):
+        if chosen != "false":
+            write_captures(packets.where(chosen).select(name.alias("file"), "packet_no", "ts", frame.alias("frame")), path, trailer)
     return path
 
 
+@query(
+    f"SELECT concat('cap', part) AS capture, packets, CASE part % 3 WHEN 1 THEN bytes ELSE -1 END AS failed_at FROM"
+    f" (SELECT packet_no // 256 AS part, count(*) AS packets, CAST(24 + sum(74 + packet_no % 100) AS BIGINT) AS bytes FROM {sql(v.PACKETS)} p GROUP BY part) c"
+)
+def k5_packets_before_a_bad_record(spark, folder):
+    """Every third capture ends in a bad record: its packets count, and the place is reported."""
+    base = scratch_path(spark, "damaged")
+    files = _event_captures(spark, folder, 256, "part % 3 = 1")
+    captures_stream.start(spark, files, f"{base}/out", f"{base}/checkpoint").awaitTermination()
+    conn = read_published(spark, f"{base}/out", "conn", flows.flows(v.packets(spark, folder)).schema)
+    kept = conn.groupBy(F.regexp_extract("run_id", "^(cap[0-9]+)-", 1).alias("capture")).agg(F.sum("packets").alias("packets"))
+    failed = spark.read.parquet(f"{base}/out/quarantine").select(F.regexp_extract("file", "(cap[0-9]+)[.]pcap$", 1).alias("capture"), "place")
+    return kept.join(failed, "capture", "left").select("capture", "packets", F.coalesce("place", F.lit(-1)).alias("failed_at"))
+
+
 @query(
     f"SELECT mac, op, params_text AS params, count(*) AS messages FROM {sql(v.DHCP_MESSAGES)} m GROUP BY mac, op, params_text"
 )
