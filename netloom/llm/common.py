@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from netloom.session import scratch_path
@@ -22,6 +22,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def counted(df: DataFrame, name: str, **more: Column) -> tuple[DataFrame, dict]:
+    """``written`` with what its write counts on the way: ``rows`` and further aggregates."""
+    seen = Observation()
+    back = written(df.observe(seen, F.count(F.lit(1)).alias("rows"), *[c.alias(n) for n, c in more.items()]), name)
+    return back, {"rows": 0, **{n: v for n, v in seen.get.items() if v is not None}}
+
+
 def table(spark, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 

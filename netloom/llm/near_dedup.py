@@ -1,6 +1,6 @@
 """Near-duplicate documents by fast similarity sketches, banding and exact verification.
 
-A document's set is its distinct 4-word shingles. The sketch has ``COORDINATES`` bins. In
+A document's set is its distinct shingles of ``SHINGLE`` words. The sketch has ``COORDINATES`` bins. In
 round i every shingle is hashed to one bin with a value between i and i + 1; a bin keeps its
 minimum, and the rounds end once every bin is filled. In the second half of at most
 2 * ``COORDINATES`` rounds all shingles go to one bin each, so that every bin fills.
@@ -27,6 +27,7 @@ each text counts for itself. Extra columns are ignored.
 from __future__ import annotations
 
 import hashlib
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -34,10 +35,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netloom.llm.common import add_columns, mixed, written
+from netloom.llm.common import add_columns, counted, mixed, written
 from netloom.llm.components import star_forest
 
-SHINGLE = 4
+#: Words of a shingle, unless a caller says otherwise.
+SHINGLE = 5
 #: Linked if LINK_OF * intersection >= LINK * union.
 LINK, LINK_OF = 80, 100
 BANDS, ROWS = 32, 4
@@ -66,10 +68,10 @@ def words_of(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []
 
 
-def shingle_set(words: list[bytes], hashes: dict[bytes, int]) -> np.ndarray:
+def shingle_set(words: list[bytes], hashes: dict[bytes, int], size: int = SHINGLE) -> np.ndarray:
     """Sorted distinct 64-bit keys of the shingles."""
     w = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
-    size = min(SHINGLE, len(w))
+    size = min(size, len(w))
     if not size:
         return w
     key = np.full(len(w) - size + 1, size, np.uint64)
@@ -110,7 +112,7 @@ def bands_of(filled: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
-def _sketched(batch: pa.RecordBatch) -> list:
+def _sketched(batch: pa.RecordBatch, shingle: int) -> list:
     hashes, digests, sets = _WordHashes(), [], []
     bands: list = [None] * batch.num_rows
     sizes = np.zeros(batch.num_rows, np.int64)
@@ -127,7 +129,7 @@ def _sketched(batch: pa.RecordBatch) -> list:
         words = words_of(text.as_py())
         digests.append(hashlib.md5(b" ".join(words)).digest())
         if words:
-            sets.append(shingle_set(words, hashes))
+            sets.append(shingle_set(words, hashes, shingle))
             group.append(i)
             sizes[i] = len(sets[-1])
             if len(group) == _GROUP or sum(map(len, sets)) > 1 << 20:
@@ -137,10 +139,10 @@ def _sketched(batch: pa.RecordBatch) -> list:
     return [digest[:, 0], digest[:, 1], sizes, bands]
 
 
-def _with_sets(batch: pa.RecordBatch) -> list:
+def _with_sets(batch: pa.RecordBatch, shingle: int) -> list:
     hashes, found, bits = _WordHashes(), [], []
     for text in batch.column("text"):
-        keys = shingle_set(words_of(text.as_py()), hashes)
+        keys = shingle_set(words_of(text.as_py()), hashes, shingle)
         flags = np.zeros(BITS, np.uint8)
         flags[(keys & np.uint64(BITS - 1)).astype(np.int64)] = 1
         found.append(keys.tobytes())
@@ -162,7 +164,7 @@ def _confirmed(batches):
         yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """``docs`` (doc_id, text) -> doc_id, n_shingles, component_id, kept, text_key.
 
     ``text_key`` (xxhash64 of the text) tells rows of one id apart. Tables between the steps
@@ -172,7 +174,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     schema = "doc_id long, text_key long, h1 long, h2 long, n_shingles long, bands array<long>"
     kinds = {"h1": pa.int64(), "h2": pa.int64(), "n_shingles": pa.int64(), "bands": pa.list_(pa.int64())}
     keyed = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_key"), "text")
-    sketched = written(keyed.mapInArrow(add_columns(kinds, _sketched, ["text"]), schema), "sketches")
+    sketched = written(keyed.mapInArrow(add_columns(kinds, partial(_sketched, shingle=shingle), ["text"]), schema), "sketches")
 
     classes = written(
         sketched.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("h1", "h2")
@@ -180,7 +182,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         .select(F.monotonically_increasing_id().alias("node"), "h1", "h2", "first.*", "n", "bands"),
         "classes",
     )
-    forest = _linked(docs, classes)
+    forest = _linked(docs, classes, shingle)
     component = classes.join(forest, "node", "left").select("node", "h1", "h2", "doc_id", F.coalesce("root", "node").alias("root"))
     first = component.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     named = component.join(first, "root").select("h1", "h2", "component_id")
@@ -195,7 +197,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     )
 
 
-def _linked(docs: DataFrame, classes: DataFrame) -> DataFrame:
+def _linked(docs: DataFrame, classes: DataFrame, shingle: int) -> DataFrame:
     """(node, root) of the classes that are linked with another."""
     every = classes.select("node", "n", F.explode("bands").alias("bucket"))
     shared = every.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1")
@@ -205,7 +207,7 @@ def _linked(docs: DataFrame, classes: DataFrame) -> DataFrame:
     candidates = members.select("node").distinct().join(classes.select("node", "doc_id", "text_key"), "node")
     texts = docs.withColumn("text_key", F.xxhash64("text")).join(candidates, ["doc_id", "text_key"])
     sets = texts.select("node", "text").mapInArrow(
-        add_columns({"shingles": pa.binary(), "bits": pa.list_(pa.int64())}, _with_sets, ["text"]),
+        add_columns({"shingles": pa.binary(), "bits": pa.list_(pa.int64())}, partial(_with_sets, shingle=shingle), ["text"]),
         "node long, shingles binary, bits array<long>",
     )
     sets = written(sets.dropDuplicates(["node"]), "sets")
@@ -215,13 +217,13 @@ def _linked(docs: DataFrame, classes: DataFrame) -> DataFrame:
         own = members.join(forest, "node", "left").select("bucket", "node", "n", "weight", F.coalesce("root", "node").alias("root"))
         if turn:
             split = own.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("bucket")
-            own = written(own.join(split, "bucket").join(sets.select("node", "bits"), "node"), "members")
-            if own.isEmpty():
+            own, seen = counted(own.join(split, "bucket").join(sets.select("node", "bits"), "node"), "members")
+            if not seen["rows"]:
                 break
         else:
             own = own.withColumn("bits", F.lit(None).cast("array<long>"))
-        links = written(_links(own, sets, pivots := _pivots(own, turn), bool(turn)), "links")
-        if not links.isEmpty():
+        links, seen = counted(_links(own, sets, pivots := _pivots(own, turn), bool(turn)), "links")
+        if seen["rows"]:
             forest = star_forest(forest.toDF("a", "b").union(links))
         used = pivots.select("bucket", F.col("pivot").alias("node"))
         members = own.select("bucket", "node", "n", "weight").join(used, ["bucket", "node"], "left_anti")

@@ -53,7 +53,7 @@ SELECT doc_id, len(shingles) AS n_shingles, component_id, doc_id = component_id
 """)
 def op1_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Near-duplicate groups of all documents."""
-    return near_dedup.near_duplicates(table(spark, folder, "documents")).drop("text_key")
+    return near_dedup.near_duplicates(table(spark, folder, "documents"), shingle=4).drop("text_key")
 
 
 @query()
