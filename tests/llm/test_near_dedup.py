@@ -9,12 +9,12 @@ from netloom.llm.near_dedup import BANDS, bands_of, near_duplicates, shingle_set
 from llm_cases import words
 
 
-def brute(rows):
+def brute(rows, size=5):
     """component and set size of each (id, text), by all pairs."""
     sets = []
     for _, text in rows:
         w = words_of(text)
-        sets.append({tuple(w[i : i + 4]) for i in range(max(1, len(w) - 3))} if w else set())
+        sets.append({tuple(w[i : i + size]) for i in range(max(1, len(w) - size + 1))} if w else set())
     root = list(range(len(rows)))
 
     def find(i):
@@ -35,13 +35,14 @@ def brute(rows):
     return sorted(out, key=repr)
 
 
-def result(df):
-    return sorted((tuple(r) for r in near_duplicates(df).drop("text_key").collect()), key=repr)
+def result(df, **options):
+    return sorted((tuple(r) for r in near_duplicates(df, **options).drop("text_key").collect()), key=repr)
 
 
-def test_edge_cases_against_all_pairs(edge):
+@pytest.mark.parametrize("size", [4, 5])
+def test_edge_cases_against_all_pairs(edge, size):
     rows = [(r.doc_id, r.text) for r in edge.select("doc_id", "text").collect()]
-    assert result(edge) == brute(rows)
+    assert result(edge, shingle=size) == brute(rows, size)
 
 
 def test_empty_table(nothing):
@@ -62,8 +63,8 @@ def test_chains_of_near_copies(spark, monkeypatch, pivots):
             base = own  # the group drifts, so that its ends are linked through its middle only
         rows.append((1000 - i, " ".join(own)))
     rows += [(2000 + i, " ".join(words(rng, 50))) for i in range(20)] + [(3000, " ".join(base).upper())]
-    got = result(spark.createDataFrame(rows, "doc_id long, text string"))
-    assert got == brute(rows)
+    got = result(spark.createDataFrame(rows, "doc_id long, text string"), shingle=4)
+    assert got == brute(rows, 4)
     assert 1 < len({r[2] for r in got if r[0] <= 1000 or r[0] == 3000}) < 90
 
 
@@ -84,7 +85,8 @@ def test_shingles_of_short_texts():
             return hash(w) & (2**64 - 1)
 
     assert len(shingle_set(words_of("A b"), Hashes())) == 1
-    assert len(shingle_set(words_of("a b c d e"), Hashes())) == 2
+    assert len(shingle_set(words_of("a b c d e"), Hashes())) == 1
+    assert len(shingle_set(words_of("a b c d e"), Hashes(), 4)) == 2
     assert len(shingle_set(words_of(" "), Hashes())) == 0
     assert words_of("A\x0bb C\tÄ") == [b"a", "b c".encode(), "Ä".encode()]
 
