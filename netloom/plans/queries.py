@@ -1078,6 +1078,39 @@ def s3_run_with_missing_logs(spark, folder):
     return _stacked(logs, "run_id", "uid").groupBy("log", "run_id").agg(F.count("*").alias("n"), F.count_distinct("uid").alias("uids"))
 
 
+@query(
+    "SELECT event_id, concat('D', event_id) AS uid, CASE event_id % 2 WHEN 0 THEN user_id ELSE -1 END AS ttl,"
+    " CASE event_id % 2 WHEN 0 THEN 'none' WHEN 1 THEN CASE event_type WHEN 'error' THEN 'yes' ELSE 'no' END END AS rejected,"
+    " CASE event_id % 2 WHEN 0 THEN event_type ELSE concat(event_type, ',', user_id) END AS tags FROM events"
+)
+def f16_k2_sensor_versions_in_one_table(spark, folder):
+    """Two sensor versions with columns of their own, published in two batches, read by one query."""
+    base, path = scratch_path(spark, "versions"), scratch_path(spark, "version-logs")
+    events = v.table(spark, folder, "events")
+    versions = {
+        "old": (["ttl", "tags"], ["count", "string"], ["user_id", "event_type"], "event_id % 2 = 0"),
+        "new": (["tags", "rejected"], ["set[string]", "bool"], ["concat(event_type, ',', user_id)", "if(event_type = 'error', 'T', 'F')"], "event_id % 2 = 1"),
+    }
+    for version, (fields, types, cells, chosen) in versions.items():
+        tab = "\t"
+        head = ["#separator \\x09", "#set_separator\t,", "#fields\tuid\t" + tab.join(fields), "#types\tstring\t" + tab.join(types)]
+        data = events.where(chosen).select(
+            F.lit(version).alias("run_id"), F.lit("dns").alias("log"), (F.col("event_id") + 1).alias("line_no"),
+            F.concat_ws(tab, F.concat(F.lit("D"), "event_id"), *[F.expr(c).cast("string") for c in cells]).alias("line"),
+        )
+        top = spark.range(1).select(F.posexplode(F.array(*[F.lit(t) for t in head])).alias("i", "line"))
+        write_lines(data.unionByName(top.select(F.lit(version).alias("run_id"), F.lit("dns").alias("log"), (F.col("i") - 10).cast("bigint").alias("line_no"), "line")), path, mode="append")
+        log = zeek_tsv.read_log(spark, f"{path}/run_id={version}/log=dns", "dns", folders=True, run_ids=True, typed_extra=True)
+        publish_runs({"dns": log}, base, version)
+    rows = read_published(spark, base, "dns", log.schema)
+    get = lambda name, kind: F.try_variant_get("extra", f"$.{name}", kind)
+    told = F.when(get("rejected", "boolean"), "yes").when(~get("rejected", "boolean"), "no").otherwise("none")
+    tags = F.coalesce(F.array_join(get("tags", "array<string>"), ","), get("tags", "string"))
+    return rows.select(
+        F.substring("uid", 2, 20).cast("bigint").alias("event_id"), "uid", F.coalesce(get("ttl", "bigint"), F.lit(-1)).alias("ttl"), told.alias("rejected"), tags.alias("tags")
+    )
+
+
 @query("SELECT concat('/in/', o_orderkey, '.pcap') AS path FROM orders ORDER BY o_orderdate, path LIMIT 250")
 def o2_oldest_captures(spark, folder):
     """The next captures to take from a listing."""
@@ -1128,7 +1161,7 @@ def s1_log_files_one_layout(spark, folder):
     path = scratch_path(spark, "conn-logs")
     conn = v.conn(spark, folder).withColumn("row_no", F.monotonically_increasing_id() + 1)
     write_lines(log_lines(conn, "conn", "row_no"), path)
-    back = zeek_tsv.read_uniform(spark, path, folders=True)
+    back = zeek_tsv.read_uniform(spark, path, folders=True, check="scan")
     return back.select("uid", F.unix_micros("ts").alias("ts_us"), "orig_h", "orig_p", "resp_h", "resp_p", "proto")
 
 
@@ -1396,7 +1429,7 @@ def t1_capture_window_stream(spark, folder):
       arg_min(sport, (t, packet_no)) AS orig_p, arg_min(ip_dst, (t, packet_no)) AS resp_h,
       arg_min(dport, (t, packet_no)) AS resp_p, CASE proto WHEN 6 THEN 'tcp' ELSE 'udp' END AS proto,
       count(*) AS packets, CAST(sum(length) AS BIGINT) AS bytes
-    FROM f GROUP BY run_id, f.proto, a, b, flow HAVING max(t) + 21600000001 <= {_CLOSED}"""
+    FROM f GROUP BY run_id, f.proto, a, b, flow HAVING max(t) + 21600000000 <= {_CLOSED}"""
 )
 def p6_flow_stream(spark, folder):
     """Closed flows of a packet stream with late packets."""

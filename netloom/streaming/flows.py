@@ -33,13 +33,13 @@ def window_counts(packets: DataFrame, seconds: int = 60, lateness: str = "10 min
 def flow_stream(packets: DataFrame, gap_seconds: int = 60, lateness: str = "10 minutes") -> DataFrame:
     """conn rows of every closed flow, as ``operators.flows.flows`` gives them for a whole capture.
 
-    A flow is closed when the watermark is past its last packet by more than the gap. The
+    A flow is closed when the watermark is past its last packet by the gap. The
     originator is the sender of the earliest packet, whatever order they come in.
     """
     source = F.struct(F.col("ip_src").alias("h"), F.col("sport").alias("p"))
     target = F.struct(F.col("ip_dst").alias("h"), F.col("dport").alias("p"))
-    # A silence of exactly the gap does not end a flow.
-    session = F.session_window("ts", f"{gap_seconds} seconds 1 microsecond")
+    # Sessions that touch are merged, so a silence of exactly the gap does not end a flow.
+    session = F.session_window("ts", f"{gap_seconds} seconds")
     merged = (
         packets.where("ip_src is not null")
         .withWatermark("ts", lateness)
