@@ -17,7 +17,7 @@ bounded sample of ``PAGES`` pages is used; what a sample lacks rests on prior co
 names that HTML itself gives such containers.
 
 Defined cases: null or empty html gives an empty text. Unclosed and crossing tags are closed
-with their parent. Unknown character references stay as they are. Extra columns stay.
+with their parent. Unknown character references stay as they are. Extra columns are ignored.
 """
 
 from __future__ import annotations

@@ -11,7 +11,8 @@ The classifier, the inverse document frequencies included, is fitted on a bounde
 about ``PER_LANGUAGE`` documents per language, whole texts.
 
 Defined cases: a null text or one without a letter is ``und`` with score 0, also where nothing
-could be learned. Null ids are predicted, never learned from. Extra columns stay.
+could be learned. Null ids are predicted, never learned from. Repeated rows are predicted each; among
+equally likely languages the first by name counts. Extra columns stay.
 """
 
 from __future__ import annotations

@@ -11,7 +11,8 @@ Whole texts are read in chunks of bounded size; a text's indicators are a row of
 The classifier is fitted on a bounded sample, about ``PER_LABEL`` documents per label.
 
 Defined cases: an empty or null text scores as one without features. Null ids are scored, never
-learned from. Without labels the score is 0. Extra columns are ignored.
+learned from. Without labels the score is 0. Extra columns stay; ``score`` is
+replaced. Repeated rows are scored each; equal texts have equal scores.
 """
 
 from __future__ import annotations

@@ -16,7 +16,8 @@ n-gram over the whole text and sums of blocks of 4 words.
 The classifier is fitted on a bounded sample, about ``PER_LABEL`` documents per label.
 
 Defined cases: an empty or null text scores as an empty bag. Null ids are scored, never learned
-from; held_out is then false. Without labels the score is 0. Extra columns are ignored.
+from; held_out is then false. Without labels the score is 0. Extra columns stay; ``score`` is
+replaced. Repeated rows are scored each; equal texts have equal scores.
 """
 
 from __future__ import annotations
