@@ -15,6 +15,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from netloom.session import scratch_path
 
@@ -120,8 +121,10 @@ def asof_number(
     """
     row = F.struct(*left.columns)
     empty = F.lit(None).cast(left.select(row.alias("s")).schema["s"].dataType)
-    events = left.select(*keys, order, row.alias("_l"), F.lit(None).cast("bigint").alias("_r")).unionByName(
-        right.dropna(subset=keys).select(*keys, order, empty.alias("_l"), F.col(order).cast("bigint").alias("_r"))
+    own = right.schema[order].dataType
+    number = T.LongType() if isinstance(own, T.IntegralType) else own
+    events = left.select(*keys, order, row.alias("_l"), F.lit(None).cast(number).alias("_r")).unionByName(
+        right.dropna(subset=keys).select(*keys, order, empty.alias("_l"), F.col(order).cast(number).alias("_r"))
     )
     known = running_values(
         events, keys, order, lasts={name: F.col("_r")}, tie=F.col("_l").isNull(), block_bits=block_bits, dense=dense
