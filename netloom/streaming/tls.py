@@ -19,7 +19,7 @@ from typing import Any
 
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -60,9 +60,8 @@ def use_state_store(spark: SparkSession) -> None:
     )
 
 
-def _in_order(rows: Iterator[pd.DataFrame]) -> list[dict[str, Any]]:
-    events = pd.concat(list(rows))
-    return events.sort_values("seq").to_dict("records")
+def _in_order(rows: Iterator[Row]) -> list[dict[str, Any]]:
+    return sorted((row.asDict() for row in rows), key=lambda event: event["seq"])
 
 
 def _text(value: Any) -> str | None:
@@ -77,31 +76,44 @@ class _ClientState(StatefulProcessor):
         self.known = handle.getMapState("known", _KEY, _STATE, self.ttl_ms)
         self.latest = handle.getValueState("latest", _KEY, self.ttl_ms)
 
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
+        """Every call of the store goes over a socket, so a state is read once and written once a batch, not per event."""
         out = []
+        states: dict[tuple, dict[str, Any] | None] = {}
+        touched: dict[tuple, None] = {}
+        latest, latest_read, latest_set = None, False, False
+
+        def state_of(uid: tuple) -> dict[str, Any] | None:
+            if uid not in states:
+                states[uid] = dict(zip(_NAMES, self.known.getValue(uid))) if self.known.containsKey(uid) else None
+            return states[uid]
+
         for event in _in_order(rows):
             uid = (event["uid"],)
-            state = dict(zip(_NAMES, self.known.getValue(uid))) if self.known.containsKey(uid) else None
+            state = state_of(uid)
             if event["kind"] == "hello":
                 fresh = state is None
-                state = self._after_hello(event, state)
-                self.known.updateValue(uid, tuple(state[n] for n in _NAMES))
-                self.latest.update(uid)
+                state = states[uid] = self._after_hello(event, state)
+                touched[uid] = None
+                latest, latest_read, latest_set = uid, True, True
                 if fresh and state["ja3"] is not None:
                     out.append({**state, "user_agent": None})
                 continue
-            if state is None and self.latest.exists():
-                uid = tuple(self.latest.get())
-                if self.known.containsKey(uid):
-                    state = dict(zip(_NAMES, self.known.getValue(uid)))
+            if state is None:
+                if not latest_read:
+                    latest, latest_read = tuple(self.latest.get()) if self.latest.exists() else None, True
+                if latest is not None:
+                    uid = latest
+                    state = state_of(uid)
             if state is not None:
-                self.known.updateValue(uid, tuple(state[n] for n in _NAMES))
+                touched[uid] = None
                 out.append({**state, "user_agent": event["value"]})
-        if out:
-            frame = pd.DataFrame(out, columns=[*_NAMES, "user_agent"])
-            frame["cipher_suites"] = frame["cipher_suites"].map(list)
-            frame["extensions"] = frame["extensions"].map(list)
-            yield frame
+        for uid in touched:
+            self.known.updateValue(uid, tuple(states[uid][n] for n in _NAMES))
+        if latest_set:
+            self.latest.update(latest)
+        for row in out:
+            yield Row(**{n: row[n] for n in _CLIENT_OUT.names})
 
     @staticmethod
     def _after_hello(event: dict[str, Any], state: dict[str, Any] | None) -> dict[str, Any]:
@@ -128,18 +140,22 @@ class _ServerState(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.codes = handle.getListState("codes", T.StructType([T.StructField("code", _S)]), self.ttl_ms)
 
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        seen = [c[0] for c in self.codes.get()] if self.codes.exists() else []
-        out = []
-        for event in _in_order(rows):
+    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
+        """Codes are read once, and only if a hello needs them, and the new ones written once."""
+        events = _in_order(rows)
+        asked = any(event["kind"] == "hello" for event in events)
+        seen = [c[0] for c in self.codes.get()] if asked and self.codes.exists() else []
+        out, new = [], []
+        for event in events:
             if event["kind"] == "extension":
                 seen.append(event["code"])
-                self.codes.appendValue((event["code"],))
+                new.append((event["code"],))
             else:
                 out.append({**{n: event[n] for n in _SERVER_OUT.names if n != "server_extensions"}, "server_extensions": list(seen)})
-        if out:
-            frame = pd.DataFrame(out, columns=_SERVER_OUT.names)
-            yield frame.astype({"ts": "int64", "orig_p": "int32", "resp_p": "int32"})
+        if new:
+            self.codes.appendList(new)
+        for row in out:
+            yield Row(**{n: row[n] for n in _SERVER_OUT.names})
 
     def close(self) -> None:
         pass
@@ -170,7 +186,7 @@ def client_fingerprint_stream(client_hello: DataFrame, http_header: DataFrame, i
         hellos.unionByName(headers)
         .withColumns({"key_h": F.col("orig_h"), "key_p": F.col("orig_p")})
         .groupBy("key_h", "key_p")
-        .transformWithStateInPandas(_ClientState(_millis(idle)), _CLIENT_OUT, "Append", _time_mode(idle))
+        .transformWithState(_ClientState(_millis(idle)), _CLIENT_OUT, "Append", _time_mode(idle))
     )
     agent = F.col("user_agent")
     text = ja4(F.col("client_version"), F.col("cipher_suites"), F.col("extensions"), agent)
@@ -201,7 +217,7 @@ def server_fingerprint_stream(server_hello: DataFrame, tls_extension: DataFrame,
         hellos.unionByName(codes)
         .withColumn("key_uid", F.col("uid"))
         .groupBy("key_uid")
-        .transformWithStateInPandas(_ServerState(_millis(idle)), _SERVER_OUT, "Append", _time_mode(idle))
+        .transformWithState(_ServerState(_millis(idle)), _SERVER_OUT, "Append", _time_mode(idle))
     )
     text = ja4s(F.col("server_version"), F.col("server_cipher"), F.col("server_extensions"))
     return (

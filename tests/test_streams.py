@@ -2,6 +2,8 @@
 
 from datetime import datetime, timezone
 
+from pyspark.sql import Row
+
 from netloom import schemas
 from netloom.operators import tls
 from netloom.sources.events import read_events
@@ -62,3 +64,57 @@ def test_server_stream_in_steps(spark, tmp_path):
         run(spark, frame, tmp_path)
     got = spark.read.schema(frame.schema).parquet(str(tmp_path / "out")).collect()
     assert sorted(r.ja4s for r in got) == ["t771_9_43", "t772_8_43-51"]
+
+
+class _CountedStore:
+    """A state variable in memory that counts its calls."""
+
+    def __init__(self):
+        self.kept, self.calls = {}, 0
+
+    def _call(self, result=None):
+        self.calls += 1
+        return result
+
+    def containsKey(self, key):
+        return self._call(key in self.kept)
+
+    def getValue(self, key):
+        return self._call(self.kept[key])
+
+    def updateValue(self, key, value):
+        self._call(self.kept.update({key: value}))
+
+    def exists(self):
+        return self._call(bool(self.kept))
+
+    def get(self):
+        return self._call(self.kept.get("it"))
+
+    def update(self, value):
+        self._call(self.kept.update({"it": value}))
+
+    def appendList(self, values):
+        self._call(self.kept.update({"it": [*self.kept.get("it", []), *values]}))
+
+
+def test_the_state_store_is_asked_per_connection_not_per_event():
+    client = stream._ClientState(None)
+    client.known, client.latest = _CountedStore(), _CountedStore()
+    known = {"ts": 1, "orig_h": "h", "orig_p": 1, "resp_h": "r", "resp_p": 2, "client_version": "771", "cipher_suites": ["1"], "extensions": ["0"]}
+    events = [Row(kind="hello", seq=i, uid="a", ja3=f"j{i}", server_name=None, value=None, **known) for i in (3, 1)]
+    events += [Row(kind="header", seq=i, uid=uid, ja3=None, server_name=None, value=f"v{i}", **known) for i, uid in ((0, "a"), (2, "a"), (4, "other"), (5, "a"))]
+    out = [(r.ja3, r.user_agent) for r in client.handleInputRows(("h", 1), iter(events), None)]
+    assert out == [("j1", None), ("j1", "v2"), ("j3", "v4"), ("j3", "v5")]
+    assert client.known.calls <= 3 and client.latest.calls <= 2
+    later = [Row(kind="header", seq=6, uid="new", ja3=None, server_name=None, value="v6", **known)]
+    assert [(r.ja3, r.user_agent) for r in client.handleInputRows(("h", 1), iter(later), None)] == [("j3", "v6")]
+
+    server = stream._ServerState(None)
+    server.codes = _CountedStore()
+    told = {n: None for n in stream._SERVER_OUT.names if n not in ("uid", "server_extensions")}
+    codes = [Row(kind="extension", seq=i, uid="a", code=str(i), **told) for i in range(5)]
+    assert list(server.handleInputRows(("a",), iter(codes[:4]), None)) == [] and server.codes.calls == 1
+    hello = Row(kind="hello", seq=9, uid="a", code=None, **told)
+    assert [r.server_extensions for r in server.handleInputRows(("a",), iter([hello, codes[4]]), None)] == [["0", "1", "2", "3", "4"]]
+    assert server.codes.calls == 4
