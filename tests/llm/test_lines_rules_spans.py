@@ -5,7 +5,7 @@ import pytest
 from netloom.llm import line_dedup
 from netloom.llm.line_dedup import without_widespread_lines
 from netloom.llm.quality_rules import judged, measured_order, base_numbers, rules
-from netloom.llm.span_dedup import RUN, cut_out, run_hashes, units, without_repeats
+from netloom.llm.span_dedup import RUN, cut_out, run_hashes, runs, units, without_repeats
 from llm_cases import sorted_rows, words
 
 
@@ -191,3 +191,21 @@ def test_units_may_cross_lines():
     text = "a b\n\nc d\ne f"
     (begin, end, _), = units(text)
     assert (begin, end) == (0, len(text)) and cut_out(text, {0}) == "" and cut_out(text + "\nx y z. u v w x.", {0}).endswith("u v w x.")
+
+
+def test_a_run_of_many_short_units_is_one_row(spark):
+    rng = random.Random(5)
+    for shape in ("list", "unspaced", "prose"):
+        text = shaped(rng, 200, shape)
+        rows = runs(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
+        hashed = run_hashes(text)
+        assert len({r[0] for r in hashed if r[3] == 0}) == len([r for r in hashed if r[3] == 0]) == len(rows)
+        assert {place + at for place, *_, at in hashed if at} or shape == "prose"
+        assert {(r.h1, r.h2) for r in rows} == {r[1:3] for r in hashed} and all(-(2**31) <= r.h2 < 2**31 for r in rows)
+
+
+def test_texts_hashed_together_have_the_runs_of_each(spark):
+    rng = random.Random(8)
+    rows = [(i, shaped(rng, rng.randint(0, 120), rng.choice(["list", "unspaced", "prose"]))) for i in range(300)]
+    got = runs(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).select("doc_id", "h1", "h2").collect()
+    assert sorted(map(tuple, got)) == sorted((i, h1, h2) for i, text in rows for _, h1, h2, at in run_hashes(text) if at == 0)
