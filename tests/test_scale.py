@@ -127,3 +127,30 @@ def test_sparse_and_numbered_feeds_give_the_same_rows(spark):
     plain = tls.client_fingerprints(hellos, headers)
     sparse = tls.client_fingerprints(wide(hellos), wide(headers), block_bits=4, dense=True)
     assert sorted(map(str, plain.collect())) == sorted(map(str, sparse.collect())) and plain.count() > 100
+
+
+def test_log_folders_leave_the_text_only(spark, tmp_path, monkeypatch):
+    """The table of numbered lines is narrow, met by its counts where it is, and dropped."""
+    from netloom.operators import ordered
+    from netloom.plans import queries
+
+    numbered = []
+
+    def seen(*args, **more):
+        numbered.append(dense_numbers(*args, **more))
+        return numbered[-1]
+
+    monkeypatch.setattr(queries, "dense_numbers", seen)
+    for module in (ordered, queries):
+        monkeypatch.setattr(module, "scratch_path", lambda spark, name: f"{tmp_path}/{name}")
+    conn = spark.range(500).select(
+        F.concat(F.lit("r"), F.col("id") % 3).alias("run_id"), F.timestamp_seconds("id").alias("ts"), F.concat(F.lit("u"), F.col("id") * 7 % 500).alias("uid"),
+        F.lit("192.0.2.1").alias("orig_h"), F.lit(1).alias("orig_p"), F.lit("192.0.2.2").alias("resp_h"), F.lit(2).alias("resp_p"), F.lit("tcp").alias("proto"),
+    )
+    path = queries._log_folders(spark, "", {"conn": conn})
+    assert [p.name for p in tmp_path.iterdir()] == ["run-folders"]
+    assert numbered[0].columns == ["run_id", "_line", "_row"] and "BroadcastHashJoin" in plan(numbered[0])
+    for run in range(3):
+        parts = sorted(Path(f"{path}/run_id=r{run}/log=conn").glob("part-*"))
+        lines = [x for p in parts for x in p.read_text().splitlines() if not x.startswith("#")]
+        assert lines == sorted(lines) and len(lines) == len(range(run, 500, 3))
